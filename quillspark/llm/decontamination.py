@@ -23,9 +23,9 @@ from quillspark.storage import materialise
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SEGMENTS = (
-    "doc_ids array<long>, n_words array<int>, spread array<long>, terms array<int>, counts array<int>, positions binary"
+    "doc_ids array<long>, mix array<long>, n_words array<int>, spread array<long>, terms array<int>, counts array<int>, positions binary"
 )
-HITS = "doc_id long, spread long, n_words long, hits array<int>, items array<string>"
+HITS = "doc_id long, mix long, spread long, n_words long, hits array<int>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -106,7 +106,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "do
     longer than ``segment_words`` is a segment of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mix"), F.col(text_col).alias("text"))
 
     def index(batches):
         import random
@@ -119,7 +119,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "do
         get, schema = shared.value.get, _segment_schema()
 
         def segment(held):
-            ids, spread, tokens = zip(*held)
+            ids, mix, spread, tokens = zip(*held)
             lengths = np.array([len(t) for t in tokens], np.int64)
             at = np.repeat(_starts(lengths) - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             flat = np.concatenate(tokens)
@@ -127,14 +127,14 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "do
             flat, at = flat[known], at[known]
             order = np.argsort(flat, kind="stable")
             terms, counts = np.unique(flat[order], return_counts=True)
-            row = [list(ids)], [lengths.tolist()], [list(spread)], [terms.tolist()], [counts.tolist()], [at[order].astype("<i4").tobytes()]
+            row = [list(ids)], [list(mix)], [lengths.tolist()], [list(spread)], [terms.tolist()], [counts.tolist()], [at[order].astype("<i4").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
 
         held, total = [], 0
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for key, mix, text in zip(batch.column("doc_id").to_pylist(), batch.column("mix").to_pylist(), batch.column("text")):
                 found = words(text.as_py())
-                held.append((key, rng.getrandbits(62), np.array([get(w, -1) for w in found], np.int32)))
+                held.append((key, mix, rng.getrandbits(62), np.array([get(w, -1) for w in found], np.int32)))
                 total += len(found)
                 if total >= segment_words or len(held) >= 20_000:
                     yield segment(held)
@@ -159,7 +159,7 @@ def _segment_schema():
     import pyarrow as pa
 
     return pa.schema(
-        [("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("spread", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("positions", pa.binary())]
+        [("doc_ids", pa.list_(pa.int64())), ("mix", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("spread", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("positions", pa.binary())]
     )
 
 
@@ -171,7 +171,7 @@ def search_index(index: DataFrame, phrases: PhraseSet, slop: int = 0) -> DataFra
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("spread", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("mix", pa.int64()), ("spread", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
         sought = shared.value
         for batch in batches:
             for row in batch.to_pylist():
@@ -195,7 +195,7 @@ def search_index(index: DataFrame, phrases: PhraseSet, slop: int = 0) -> DataFra
                     np.add.at(mark, np.minimum(local + sought.lengths[which[lo:hi]], lengths[d]), -1)
                     hits[d] = np.flatnonzero(np.cumsum(mark[:-1]) > 0).tolist()
                     items[d] = sorted({i for w in np.unique(which[lo:hi]) for i in sought.items[w]})
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["spread"]), pa.array(lengths), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["mix"], pa.int64()), pa.array(row["spread"]), pa.array(lengths), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=schema)
 
     return index.mapInArrow(search, HITS)
 
@@ -220,7 +220,8 @@ def decontaminate(
 ) -> DataFrame:
     """Find the windows of ``benchmark`` items in whole documents.
 
-    One row per document row: ``doc_id, n_words, n_hit, items`` (sorted as strings). Null or
+    One row per document row: ``doc_id, n_words, n_hit, items`` (sorted as strings), and ``mix``,
+    the hash of its text. Null or
     wordless texts have no words; null items and items without words match nothing; repeated
     rows each get a row; an empty benchmark hits nothing. Other columns are ignored.
     """
@@ -240,8 +241,8 @@ def decontaminate(
     one = merged.withColumn("n_hit", F.size("hits").cast("long"))
     if merged is not found:
         one = (
-            merged.groupBy("doc_id", "spread", "n_words")
+            merged.groupBy("doc_id", "mix", "spread", "n_words")
             .agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
             .withColumn("n_hit", F.size("hits").cast("long"))
         )
-    return one.select("doc_id", "n_words", "n_hit", "items", "spread")
+    return one.select("doc_id", "n_words", "n_hit", "items", "mix")

@@ -1,5 +1,9 @@
 """SimHash near-duplicates by pigeonhole blocks (operator 4).
 
+Two uses share the machinery. ``simhash_components`` links 64-bit majority fingerprints at a small
+Hamming distance, exactly. ``drop_near_duplicates`` works at a *similarity* of shingle sets, for which
+64 bits are too few: it takes 2048-bit fingerprints, many blocks, and a budget on 256 bits.
+
 Fingerprints are cut into blocks. If two differ in at most ``k`` bits, they agree on all but ``k``
 of the blocks, so they share the key made of some ``blocks - k`` of them. Distinct fingerprints
 are joined on these keys and each candidate pair is verified by its Hamming distance.
@@ -78,22 +82,74 @@ def block_keys(fp: Column, k: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def link_forest(fps, k: int):
-    """Edges of a breadth-first forest over one bucket, linking fingerprints within ``k`` bits."""
+def link_forest(ids, words, k: int):
+    """Edges of a breadth-first forest over one bucket; rows of ``words`` link within ``k`` bits."""
     import numpy as np
 
-    left, edges = fps, []
-    while len(left) > 1:
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            x = frontier.pop()
-            near = np.bitwise_count(left ^ x) <= k
+    edges = []
+    while len(ids) > 1:
+        frontier, ids, words = [(ids[0], words[0])], ids[1:], words[1:]
+        while frontier and len(ids):
+            x, own = frontier.pop()
+            near = np.bitwise_count(words ^ own).sum(1, dtype=np.int64) <= k
             if near.any():
-                reached = left[near]
-                edges.append(np.stack([np.full(len(reached), x), reached], 1))
-                frontier.extend(reached)
-                left = left[~near]
-    return np.concatenate(edges) if edges else np.zeros((0, 2), np.uint64)
+                edges.append(np.stack([np.full(int(near.sum()), x), ids[near]], 1))
+                frontier.extend(zip(ids[near], words[near]))
+                ids, words = ids[~near], words[~near]
+    return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+
+
+#: Buckets up to this size are compared all at once, shifted against themselves.
+SMALL = 16
+
+
+def bucket_edges(keys, ids, words, k: int):
+    """Edges within each run of equal (sorted) keys."""
+    import numpy as np
+
+    cut = np.flatnonzero(np.diff(keys)) + 1
+    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
+    sizes = end - begin
+    left = np.repeat(end, sizes) - np.arange(len(keys)) - 1  # rows after this one in its bucket
+    left[np.repeat(sizes > SMALL, sizes)] = 0
+    found = []
+    for shift in range(1, SMALL):
+        at = np.flatnonzero(left >= shift)
+        if not len(at):
+            break
+        at = at[np.bitwise_count(words[at] ^ words[at + shift]).sum(1, dtype=np.int64) <= k]
+        found.append(np.stack([ids[at], ids[at + shift]], 1))
+    found += [link_forest(ids[b:e], words[b:e], k) for b, e in zip(begin[sizes > SMALL], end[sizes > SMALL])]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _bucket_linker(row_of, k: int):
+    """A ``mapInArrow`` function over partitions sorted by key; holds one bucket over batch ends."""
+
+    def link(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def edges(rows):
+            e = bucket_edges(*rows, k)
+            e = np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i]), pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = row_of(batch)
+            if rest is not None:
+                rows = tuple(np.concatenate(x) for x in zip(rest, rows))
+            last = np.searchsorted(rows[0], rows[0][-1])  # the last bucket may go on
+            if last:
+                yield edges(tuple(x[:last] for x in rows))
+            rest = tuple(x[last:] for x in rows)
+        if rest is not None:
+            yield edges(rest)
+
+    return link
 
 
 def _split_hot(keyed: DataFrame, hot: DataFrame, k: int) -> DataFrame:
@@ -123,36 +179,13 @@ def fingerprint_edges(distinct: DataFrame, k: int = 2, blocks: int = 5) -> DataF
     sizes = materialise(keyed.groupBy("key").count().filter("count > 1"), "buckets")
     shared = keyed.join(sizes.filter(F.col("count") <= BUCKET).select("key"), "key")
 
-    def link(batches):
+    def row_of(batch):
         import numpy as np
-        import pyarrow as pa
-
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        rest_key, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def forest(keys, fps):
-            cut = np.flatnonzero(np.diff(keys)) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
-            pairs = begin[end - begin == 2]  # most buckets: one comparison each, all at once
-            near = np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= k
-            found = [np.stack([fps[pairs][near], fps[pairs + 1][near]], 1)]
-            found += [link_forest(fps[b:e], k) for b, e in zip(begin, end) if e - b > 2]
-            edges = np.concatenate(found)
-            return pa.RecordBatch.from_arrays([pa.array(edges[:, i].astype(np.int64)) for i in (0, 1)], schema=schema)
 
-        for batch in batches:
-            keys = np.concatenate([rest_key, batch.column("key").to_numpy()])
-            fps = np.concatenate([rest_fp, batch.column("fp").to_numpy().astype(np.uint64)])
-            if not len(keys):
-                continue
-            last = np.searchsorted(keys, keys[-1])  # sorted; the last bucket may go on
-            if last:
-                yield forest(keys[:last], fps[:last])
-            rest_key, rest_fp = keys[last:], fps[last:]
-        if len(rest_key):
-            yield forest(rest_key, rest_fp)
+        fps = batch.column("fp").to_numpy()
+        return batch.column("key").to_numpy(), fps, fps.astype(np.uint64)[:, None]
 
-    edges = shared.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long")
+    edges = shared.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_linker(row_of, k), "u long, v long")
     hot = sizes.filter(F.col("count") > BUCKET).select("key")
     if hot.limit(1).count():
         edges = edges.union(_split_hot(keyed, hot, k))
@@ -173,3 +206,108 @@ def simhash_components(docs: DataFrame, size: int = 3, k: int = 2, blocks: int =
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(least, "component").select("fp", "component_id")
     return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- near-duplicates at a similarity, on wide fingerprints -----------------------------------
+
+WIDTH = 2048
+CHECKED = 256
+
+
+def projected_fingerprints(texts, size: int):
+    """2048-bit SimHash of each text's set of shingles, as a uint8 array of packed bits.
+
+    The set is summed into 2048 signed cells by hash, and a Walsh-Hadamard transform turns these
+    into as many projections, whose signs are the bits. Two bits differ with the probability of
+    the angle between the sets over pi, as with one projection per bit.
+    """
+    import numpy as np
+
+    x = np.zeros((len(texts), WIDTH), np.float32)
+    for i, text in enumerate(texts):
+        h = np.array(list(set(shingle_hashes(text, size))), np.uint64)
+        if len(h):
+            sign = (h >> np.uint64(32) & np.uint64(1)).astype(np.float32) * 2 - 1
+            x[i] = np.bincount((h & np.uint64(WIDTH - 1)).astype(np.int64), sign, WIDTH)
+    x *= np.random.default_rng(42).choice(np.array([-1, 1], np.float32), WIDTH)
+    step = 1
+    while step < WIDTH:
+        y = x.reshape(len(x), -1, 2, step)
+        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(len(x), WIDTH)
+        step *= 2
+    return np.packbits(x > 0, axis=1)
+
+
+def block_plan(similarity: float, n: int, recall: float = 0.98) -> tuple[int, int, int]:
+    """Bits per block, number of blocks, and the Hamming budget on the checked bits.
+
+    A Jaccard similarity s of sets of like size is a cosine of 2s / (1 + s). Blocks are wide enough
+    that unrelated documents seldom share one, and as many as a pair at exactly ``similarity``
+    needs to share one with probability ``recall``. The budget allows one standard deviation.
+    """
+    import math
+
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(16, math.ceil(math.log2(max(n, 2))) - 4)
+    blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
+    return bits, blocks, math.ceil(CHECKED * apart + math.sqrt(CHECKED * apart * (1 - apart)))
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, mix, keep``: of each row, its id, its text's hash and its group's least id.
+
+    Texts without words are one group. Null ids are never a group's least id unless it has no other.
+    """
+    inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mix"), F.col(text_col).alias("text"))
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                bits = projected_fingerprints(part.column("text").to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mix"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "mix", "fp"])
+
+    rows = materialise(inputs.mapInArrow(hashed, "doc_id long, mix long, fp binary").withColumn("class", F.xxhash64("fp")), "wide-fingerprints")
+    classes = materialise(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "fingerprint-classes")
+    bits, blocks, budget = block_plan(similarity, classes.count())
+
+    def blocked(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng(7)
+        places = [CHECKED + rng.choice(WIDTH - CHECKED, bits, replace=False) for _ in range(blocks)]
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                packed = np.stack([np.frombuffer(b.as_buffer(), np.uint8) for b in part.column("fp")])
+                wide = np.unpackbits(packed, axis=1)
+                keys = np.stack([wide[:, p] @ weights + (b << bits) for b, p in enumerate(places)], 1).ravel()
+                checked = np.repeat(np.ascontiguousarray(packed[:, : CHECKED // 8]).view("<i8"), blocks, axis=0)
+                ids = np.repeat(part.column("class").to_numpy(), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), *(pa.array(np.ascontiguousarray(checked[:, i])) for i in range(CHECKED // 64))], names=["key", "class", *(f"w{i}" for i in range(CHECKED // 64))])
+
+    def row_of(batch):
+        import numpy as np
+
+        words = np.stack([batch.column(f"w{i}").to_numpy().astype(np.uint64) for i in range(CHECKED // 64)], 1)
+        return batch.column("key").to_numpy(), batch.column("class").to_numpy(), words
+
+    words = ", ".join(f"w{i} long" for i in range(CHECKED // 64))
+    keyed = classes.select("class", "fp").mapInArrow(blocked, f"key long, class long, {words}")
+    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_linker(row_of, budget), "u long, v long").distinct()
+    linked = connected_components(edges).withColumnRenamed("node", "class")
+    labelled = classes.select("class", "least").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("keep"))
+    return rows.select("doc_id", "mix", "class").join(labelled.join(least, "component").select("class", "keep"), "class").select("doc_id", "mix", "keep")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with only the least id of each group; rows that repeat the kept id and text stay."""
+    groups = near_duplicate_groups(docs, similarity, size, id_col, text_col)
+    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__id"), F.col("mix").alias("__mix")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(text_col))
+    return keyed.join(dropped, keyed[id_col].eqNullSafe(dropped["__id"]) & (keyed["__key"] == dropped["__mix"]), "left_anti").drop("__key")
