@@ -72,9 +72,9 @@ def write_token_files(
         name = f"{part:06d}-{uuid.uuid4().hex}"
         offset = nulls = docs_seen = 0
         with (
-            store.open_output_stream(f"{root}/{name}.bin", buffer_size=BLOCK) as tokens,
-            store.open_output_stream(f"{root}/{name}.idx", buffer_size=BLOCK) as index,
-            store.open_output_stream(f"{root}/{name}.ids", buffer_size=BLOCK) as ids,
+            store.open_output_stream(f"{root}/{name}.bin", compression=None, buffer_size=BLOCK) as tokens,
+            store.open_output_stream(f"{root}/{name}.idx", compression=None, buffer_size=BLOCK) as index,
+            store.open_output_stream(f"{root}/{name}.ids", compression=None, buffer_size=BLOCK) as ids,
         ):
             index.write(np.int64(0).tobytes())
             for batch in batches:

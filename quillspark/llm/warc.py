@@ -2,7 +2,7 @@
 
 A payload travels as rows ``(record, chunk number, bytes)``: the writer streams them into the
 archive and the reader streams them out again, each with an incremental SHA-1, so no Python
-process holds a whole record. Of records with equal payloads (same SHA-256 and length) the one
+process holds a whole record. Each record is a gzip member of its own. Of records with equal payloads (same SHA-256 and length) the one
 with the largest page id is stored; the others are ``revisit`` records of it, which keep the HTTP
 header (and so the payload's length) and its digest but no payload.
 
@@ -82,6 +82,7 @@ def write_archives(chunks: DataFrame, out: str | None = None, date: str = "2000-
     def write(batches):
         import hashlib
         import uuid
+        import zlib
 
         import pyarrow as pa
 
@@ -94,19 +95,20 @@ def write_archives(chunks: DataFrame, out: str | None = None, date: str = "2000-
             for i, (page, url, size, sha1, refers_to, n, k) in enumerate(zip(*columns)):
                 if k == 0:
                     if sink is None:
-                        name = f"{uuid.uuid4().hex}.warc"
+                        name = f"{uuid.uuid4().hex}.warc.gz"
                         path, records, written = f"{out}/{name}", 0, 0
-                        sink = store.open_output_stream(f"{root}/{name}", buffer_size=CHUNK)
-                    sink.write(_head(page, url, size, sha1, refers_to, date))
+                        sink = store.open_output_stream(f"{root}/{name}", compression=None, buffer_size=CHUNK)
+                    member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    sink.write(member.compress(_head(page, url, size, sha1, refers_to, date)))
                     digest, length = hashlib.sha1(), 0
                 data = batch.column("data")[i].as_buffer()
-                sink.write(data)
+                sink.write(member.compress(data))
                 digest.update(data)
                 length += len(data)
                 if k == n - 1:
                     if refers_to is None and (length, digest.hexdigest()) != (size, sha1):
                         raise ValueError(f"page {page}: chunks don't add up to the payload")
-                    sink.write(b"\r\n\r\n")
+                    sink.write(member.compress(b"\r\n\r\n") + member.flush())
                     records, written = records + 1, written + length
                     if written >= ARCHIVE_BYTES:
                         sink.close()
@@ -172,6 +174,7 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
     files = manifest.repartition(max(1, manifest.count()), "path")
 
     def read(batches):
+        import gzip
         import io
 
         import pyarrow as pa
@@ -184,7 +187,7 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
             return pa.RecordBatch.from_pylist([r if with_data else r | {"data": None} for r in rows], schema=schema)
 
         for row in (r for b in batches for r in b.to_pylist()):
-            with open_for_read(row["path"]) as raw, io.BufferedReader(raw, CHUNK) as stream:
+            with open_for_read(row["path"]) as raw, gzip.GzipFile(fileobj=raw) as plain, io.BufferedReader(plain, CHUNK) as stream:
                 held, size, seen = [], 0, 0
                 for chunk in read_archive(stream):
                     seen += chunk["last"]
