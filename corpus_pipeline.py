@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # equal rows have equal scores; a rejected row is named by its id and its text's hash
     rejected = scored.filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("mix").alias("__mix")).distinct()
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return _columns(keyed.join(rejected, keyed["doc_id"].eqNullSafe(rejected["__id"]) & (keyed["__key"] == rejected["__mix"]), "left_anti"))
+    return _columns(keyed.join(rejected.hint("merge"), keyed["doc_id"].eqNullSafe(rejected["__id"]) & (keyed["__key"] == rejected["__mix"]), "left_anti"))
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("mix").alias("__mix")).distinct()
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return _columns(keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["__id"]) & (keyed["__key"] == hit["__mix"]), "left_anti"))
+    return _columns(keyed.join(hit.hint("merge"), keyed["doc_id"].eqNullSafe(hit["__id"]) & (keyed["__key"] == hit["__mix"]), "left_anti"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

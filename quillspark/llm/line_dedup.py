@@ -157,7 +157,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     """
     doomed = line_duplicates(docs, min_words, id_col, text_col).withColumnsRenamed({"doc_id": "__id", "mix": "__mix", "deleted": "__deleted"})
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(doomed, (keyed[id_col] == doomed["__id"]) & (keyed["__key"] == doomed["__mix"]), "left")
+    # sorted and merged at every size: the list of lines grows with the corpus and isn't broadcast
+    joined = keyed.join(doomed.hint("merge"), (keyed[id_col] == doomed["__id"]) & (keyed["__key"] == doomed["__mix"]), "left")
     split = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(split, lambda s, i: ~F.array_contains("__deleted", i)), "\n")
     return joined.select(

@@ -310,4 +310,4 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     groups = near_duplicate_groups(docs, similarity, size, id_col, text_col)
     dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__id"), F.col("mix").alias("__mix")).distinct()
     keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    return keyed.join(dropped, keyed[id_col].eqNullSafe(dropped["__id"]) & (keyed["__key"] == dropped["__mix"]), "left_anti").drop("__key")
+    return keyed.join(dropped.hint("merge"), keyed[id_col].eqNullSafe(dropped["__id"]) & (keyed["__key"] == dropped["__mix"]), "left_anti").drop("__key")
