@@ -1,0 +1,322 @@
+"""The ten operators against brute force, round trips and odd inputs, on small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontamination, embedding_dedup, html_text, line_dedup, packing, quality, sharding, simhash, token_files, warc
+from quillspark.llm.queries import tokenizer_path
+from quillspark.llm.wordcache import WordCachedEncoder, read_tokenizer
+
+DOCS = "doc_id long, text string, mix string, key string, fp string"
+
+
+def docs(spark, rows):
+    """Documents with extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, "m", "k", "f") for i, t in rows], DOCS)
+
+
+def sample_rows():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Ünï", "x-y", "A"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 60)))) for i in range(60)]
+    rows += [(60, rows[3][1]), (61, rows[3][1]), (62, ""), (63, None), (None, "w1 w2 w3"), (7, rows[7][1]), (64, "word " * 5000), (65, " \n "), (66, "a\n\nb  c <|endoftext|> d")]
+    return rows
+
+
+def whole_encoder():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    return lambda s: t.encode(s or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_word_cache_equals_whole_encoding():
+    encoder, whole = WordCachedEncoder(read_tokenizer(tokenizer_path())), whole_encoder()
+    rng = random.Random(1)
+    pieces = [" ", "\n", "a", "the", "'s", "!", ".", "é", "\t", " ", "1", "<|endoftext|>", "中", "\x1c", "\r", "²"]
+    for _ in range(5000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 8)))
+        assert encoder.encode(text) == np.array(whole(text), "<u4").tobytes(), text
+
+
+def test_token_files_round_trip(spark):
+    rows, whole = sample_rows(), whole_encoder()
+    out = token_files.read_token_files(token_files.write_token_files(docs(spark, rows), tokenizer_path(), partitions=3)).collect()
+    expected, at = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = whole(t) + [2]
+        expected.append((i, at, len(ids), crc(ids)))
+        at += len(ids)
+    key = lambda r: r[1]
+    assert sorted(map(tuple, out), key=key) == sorted(expected, key=key)
+    assert token_files.read_token_files(token_files.write_token_files(docs(spark, []), tokenizer_path())).count() == 0
+
+
+def test_packing(spark):
+    rows, whole = sample_rows(), whole_encoder()
+    out = packing.pack_documents(docs(spark, rows), tokenizer_path(), capacity=128, group_docs=30).collect()
+    for r in out:
+        assert 0 < r.length and r.offset + r.length <= 128
+    spans = {}
+    for r in out:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in spans.values():
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+    wanted = sorted(((i, s, crc((whole(t) + [1])[s : s + 128])) for i, t in rows for s in range(0, len(whole(t)) + 1, 128)), key=repr)
+    assert sorted(((r.doc_id, r.start, r.ids_crc32) for r in out), key=repr) == wanted
+    assert packing.pack_documents(docs(spark, []), tokenizer_path()).count() == 0
+
+
+def test_first_fit_decreasing_equals_a_plain_scan():
+    rng = random.Random(5)
+    for _ in range(50):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 60))]
+        bins, placed = [], [None] * len(lengths)
+        for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+            b = next((k for k, used in enumerate(bins) if used + lengths[i] <= 20), len(bins))
+            if b == len(bins):
+                bins.append(0)
+            placed[i] = (b, bins[b])
+            bins[b] += lengths[i]
+        assert packing.first_fit_decreasing(lengths, 20) == placed
+
+
+def best_capacity(sizes, shards):
+    def feasible(c):
+        n, room = 1, c
+        for s in sizes:
+            if s > c:
+                return False
+            if s > room:
+                n, room = n + 1, c
+            room -= s
+        return n <= shards
+
+    return next(c for c in range(max(sizes), sum(sizes) + 1) if feasible(c))
+
+
+def test_sharding_is_minimax(spark):
+    rows = sample_rows()
+    out = sharding.shard_documents(docs(spark, rows), shards=5, slot_rows=7).collect()
+    assert len(out) == len(rows)
+    groups = docs(spark, rows).select(F.xxhash64("text").alias("k"), (F.length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) + 1).alias("s")).groupBy("k").agg(F.sum("s").alias("s")).collect()
+    sizes = [r.s for r in sorted(groups, key=lambda r: r.k & (2**64 - 1))]
+    loads = {}
+    for r in out:
+        loads.setdefault(r.shard, []).append(r)
+    assert max(sum(r["size"] for r in v) for v in loads.values()) == best_capacity(sizes, 5)
+    for v in loads.values():
+        assert sorted(r.slot for r in v) == list(range(len(v)))
+    assert len({r.shard for r in out if r.doc_id in (3, 60, 61)}) == 1
+    assert sharding.shard_documents(docs(spark, []), 5).count() == 0
+
+
+def test_simhash_components(spark):
+    rng = random.Random(2)
+    base = " ".join(f"t{i}" for i in range(300))
+    rows = sample_rows() + [(100 + k, base.replace(f"t{rng.randrange(300)} ", "zz ", 1)) for k in range(20)]
+    out = simhash.simhash_components(docs(spark, rows), k=2)
+    got = sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in out.collect()), key=repr)
+    fps = [(i, simhash.majority_fingerprint(simhash.shingle_hashes(t, 3))) for i, t in rows]
+    label = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a][1] ^ fps[b][1]).bit_count() <= 2:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (i, _), lab in zip(fps, label):
+        if i is not None:
+            least[lab] = min(least.get(lab, i), i)
+    assert got == sorted(((i, f, least.get(lab)) for (i, f), lab in zip(fps, label)), key=repr)
+
+
+def test_simhash_hot_buckets_are_split_exactly(spark, monkeypatch):
+    rng = random.Random(9)
+    fps = {rng.getrandbits(60) for _ in range(5)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps) for _ in range(30)}
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    plain = simhash.connected_components(simhash.fingerprint_edges(frame)).collect()
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    split = simhash.connected_components(simhash.fingerprint_edges(frame)).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, split)) and plain
+
+
+def test_near_duplicates_at_a_similarity(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(0, 400, 2):
+        words = fresh(200)
+        rows.append((i, " ".join(words)))
+        if i % 8 == 0:
+            at = rng.randrange(190)
+            rows.append((i + 1, " ".join(words[:at] + fresh(1) + words[at + 1 :])))
+            planted[i + 1] = i
+    out = {r.doc_id: r.keep for r in simhash.near_duplicate_groups(docs(spark, rows)).collect()}
+    assert sum(out[k] == v for k, v in planted.items()) >= 0.95 * len(planted)
+    assert all(out[i] == i for i, _ in rows if i not in planted)
+
+
+def test_decontamination(spark):
+    rows = sample_rows()
+    items = [(1, "w1 w2 w3"), (2, rows[64 + 2][1] if rows[66][1] else "q"), (10, " ".join(rows[5][1].split()[:15])), (3, ""), (4, None), (5, "nothing here of that kind")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (50_000_000, 60):
+        out = decontamination.decontaminate(docs(spark, rows), bench, max_window_words=limit).collect()
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in out), key=repr)
+        expected = []
+        for i, t in rows:
+            w = [x.decode() for x in decontamination.words(t)]
+            hit, found = set(), set()
+            for item, text in items:
+                for win in decontamination.windows(text, 10):
+                    win = [x.decode() for x in win]
+                    for s in range(len(w) - len(win) + 1):
+                        if w[s : s + len(win)] == win:
+                            hit |= set(range(s, s + len(win)))
+                            found.add(str(item))
+            expected.append((i, len(w), len(hit), tuple(sorted(found))))
+        assert got == sorted(expected, key=repr)
+    assert decontamination.decontaminate(docs(spark, rows), bench.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_proximity_matches():
+    phrases = decontamination.PhraseSet([("a", "one two three")], {b"one": 0, b"two": 1, b"three": 2}, 10)
+    phrases.order_by_rarity({0: 1, 1: 5, 2: 2})
+    text = [0, -1, 1, 2]  # one X two three
+    at = {t: [i for i, x in enumerate(text) if x == t] for t in (0, 1, 2)}
+    arrays = np.array([0, 1, 2]), np.array([1, 1, 1]), np.array(sum(at.values(), []))
+    assert len(decontamination.match_segment(phrases, *arrays)[0]) == 0
+    assert len(decontamination.match_segment(phrases, *arrays, slop=1)[0]) == 1
+
+
+def test_line_dedup(spark):
+    passage = "\n".join(" ".join(f"p{j}_{i}" for i in range(15)) for j in range(4))
+    rows = [(1, f"start one\n{passage}\nend one"), (2, f"other\n{passage}\nlast"), (3, "start one\nother\nlonely words"), (4, f"x y\n{passage}\n{passage}"), (5, None), (None, passage), (6, "")]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert out[1].text == rows[0][1] and out[2].text == "other\nlast" and out[2].lines_deleted == 4
+    assert out[3].text == rows[2][1] and out[5].text is None and out[None].text == passage and out[6].text == ""
+    assert out[4].text == "x y"
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_longest_increasing():
+    rng = random.Random(1)
+    for _ in range(100):
+        v = [rng.randrange(12) for _ in range(rng.randint(0, 10))]
+        best = [0] * len(v)
+        for i in range(len(v)):
+            best[i] = 1 + max((best[j] for j in range(i) if v[j] < v[i]), default=0)
+        out = [v[i] for i in line_dedup.longest_increasing(v)]
+        assert all(a < b for a, b in zip(out, out[1:])) and len(out) == max(best, default=0)
+
+
+@pytest.mark.parametrize("chunk", [2048, 16])
+def test_embedding_links(spark, monkeypatch, chunk):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(6, 24))
+    rows = []
+    for i in range(120):
+        v = centres[i % 6] + rng.normal(size=24) * (0.05, 0.3, 0.45)[i % 3]
+        rows.append((i, v.astype(np.float32).tolist(), i % 2))
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, [0.0] * 24, 0), (203, None, 0), (204, rows[0][1], None), (205, [float("nan")] * 24, 0), (206, [1.0, 2.0], 0), (207, [1.0, 2.1], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_links(frame).collect()}
+
+    def linked(a, b):
+        if a[2] is None or a[2] != b[2] or not a[1] or not b[1] or len(a[1]) != len(b[1]):
+            return False
+        x, y = (np.array(r[1], np.float32).astype(float) for r in (a, b))
+        n = np.linalg.norm(x) * np.linalg.norm(y)
+        return bool(np.isfinite(n) and n > 0 and x @ y / n >= 0.93)
+
+    near = {a[0]: [b[0] for b in rows if b[0] != a[0] and linked(a, b)] for a in rows}
+    for i, links in near.items():
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        assert got[i] == (len(links), min(seen), min(seen) == i), i
+
+
+def test_warc_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 700)
+    big = "<p>ü" * 900
+    rows = [(1, "http://a/ü b", big), (2, None, big), (9, "http://c", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "n", big), (9, "http://c", big)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
+    manifest = warc.write_archives(warc.chunk_rows(warc.warc_records(pages)))
+    table = warc.read_archives(manifest)
+    data = {}
+    for r in table.filter("record_type = 'response'").orderBy("page_id", "chunk").collect():
+        assert len(r.data) <= 1 << 20
+        data.setdefault(r.page_id, []).append(bytes(r.data))
+    assert b"".join(data[3]) == b"small" and b"".join(data[9])[: len(big.encode())] == big.encode()
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()), key=repr)
+    expected = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        revisit = len(raw) >= 1000 and i != 9
+        expected.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
+    assert got == sorted(expected, key=repr)
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header>Site</header><nav><a href=/>Home</a></nav>
+<div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>First  <b>bold</b>\ntext<p>Short.<ul><li>one<li>two</ul><script>var x = "</p>";</script><form><input>go</form></article>
+<aside>More</aside><div class="comments"><p>A reader</p></div><footer>&copy; us</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == "Head & line\nFirst bold text\nShort.\none\ntwo"
+    assert html_text.main_text("") == html_text.main_text(None) == html_text.main_text("<nav>x</nav>") == ""
+    assert html_text.main_text("<p>just <i>text</i></p>") == "just text"
+    long = "words " * 40
+    soup = f"<div id=menu><a href=1>a</a><a href=2>b</a></div><div id=w><div id=main><p>{long}</p><p>{long}</p><p>Tiny.</p></div></div><div class=footer>f</div>"
+    assert html_text.main_text(soup) == "\n".join([long.strip()] * 2 + ["Tiny."])
+    assert html_text.main_text("<article><p>" + "x" * 300_000) == "x" * 300_000
+
+
+def test_articles_of_the_pages_are_found_whole(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    import html as h
+
+    for r in html_text.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
+        plain = [" ".join(h.unescape(re.sub(r"</?(?:b|br|i)\b[^>]*>", " " if "br" in s else "", s)).split()) for s in re.split(r"</?(?:p|h1)>", body)]
+        assert r.text.split("\n") == [s for s in plain if s]
+        assert r.n_chars == len(r.text)
+
+
+def test_quality_learns_and_holds_out(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(80)]
+        rows.append((i, " ".join(w + "###" if i % 3 == 0 else w for w in words)))
+    rows += [(900, ""), (901, None), (None, "some words"), (5, rows[5][1])]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(400)], "doc_id long, quality int")
+    out = quality.score_documents(docs(spark, rows), labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
+    assert sum(r.predicted == int(r.doc_id % 3 != 0) for r in held) >= 0.95 * len(held)
+    empty = quality.score_documents(docs(spark, rows), labels.limit(0)).collect()
+    assert {r.score for r in empty} == {0.5}
