@@ -79,7 +79,7 @@ def _(t):
     return mt.confusion(best.join(queries(t).select("q", "truth"), "q"), "truth", "class")
 
 
-_FACE = f"""{_Q}, {_B}, f AS (SELECT q, face, min((d, class)) AS m FROM (SELECT q, face, class, CAST(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS FLOAT) AS d FROM q, b) GROUP BY ALL)"""
+_FACE = f"""{_Q}, {_B}, f AS (SELECT q, face, min((d, class)) AS m FROM (SELECT q, face, class, CAST(sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS FLOAT) AS d FROM q, b) GROUP BY ALL)"""
 
 
 def face_best(t):
@@ -89,14 +89,14 @@ def face_best(t):
     return d.groupBy("q", "face").agg(F.min(F.struct("d", "class")).alias("m")).select("q", "face", "m.d", "m.class")
 
 
-@SUITE.query("m09_m11_m12_per_face", f"WITH {_FACE} SELECT q, face, round(sqrt(m[1]), 4) AS d, m[2] AS class FROM f".replace("m[1]", "m[1]"))
+@SUITE.query("m09_m11_m12_per_face", f"WITH {_FACE} SELECT q, face, round(CAST(m[1] AS DOUBLE), 4) AS d, m[2] AS class FROM f")
 def _(t):
     return face_best(t).select("q", "face", rounded("d").alias("d"), "class")
 
 
 @SUITE.query(
     "m13_m14_style_labels",
-    f"""WITH {_FACE}, g AS (SELECT q // 50 AS field, q, face, sqrt(m[1]) AS d, m[2] AS class FROM f), s AS (SELECT field, face, sum(d) AS total FROM g GROUP BY ALL),
+    f"""WITH {_FACE}, g AS (SELECT q // 50 AS field, q, face, CAST(m[1] AS DOUBLE) AS d, m[2] AS class FROM f), s AS (SELECT field, face, sum(d) AS total FROM g GROUP BY ALL),
           k AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY total, face) AS k FROM s) SELECT field, q AS glyph, face, class FROM g JOIN k USING (field, face) WHERE k = 1""",
 )
 def _(t):
@@ -123,7 +123,7 @@ _SC = "s AS (SELECT dim, max(abs(e)) / 127 AS scale FROM (SELECT generate_subscr
 
 @SUITE.query(
     "m15_m16_quantise",
-    f"WITH {_SC} SELECT vec_id, CAST(dim AS INT) AS dim, CAST(round(e / scale) AS INT) AS code, round(e / scale) * scale AS back FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings) JOIN s USING (dim)",
+    f"WITH {_SC} SELECT vec_id, CAST(dim AS INT) AS dim, CAST(round(e / scale) AS INT) AS code, CAST(round(e / scale) AS INT) * scale AS back FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings) JOIN s USING (dim)",
 )
 def _(t):
     return _quantised(t).select("vec_id", F.posexplode(F.arrays_zip("code", "back")).alias("dim", "x")).select("vec_id", "dim", F.col("x.code").cast("int").alias("code"), F.col("x.back").alias("back"))
