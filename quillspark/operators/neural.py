@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let
+
 
 def log_softmax(v: Column) -> Column:
-    """Shifted by the largest, so no exponent overflows."""
-    v = v.cast("array<double>")
-    top = F.array_max(v)
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(v, lambda x: x - top - F.ln(total))
+    """Shifted by the largest, so no exponent overflows; the largest and the sum are computed once."""
+
+    def shifted(x: Column, top: Column) -> Column:
+        total = F.ln(F.aggregate(x, F.lit(0.0), lambda a, e: a + F.exp(e - top)))
+        return let(total, lambda t: F.transform(x, lambda e: e - top - t))
+
+    return let(v.cast("array<double>"), lambda x: let(F.array_max(x), lambda top: shifted(x, top)))
 
 
 def dense(v: Column, weights: list[list[float]], bias: list[float]) -> Column:
@@ -21,9 +25,11 @@ def dense(v: Column, weights: list[list[float]], bias: list[float]) -> Column:
 
 
 def rmsnorm(v: Column, eps: float = 1e-6) -> Column:
-    v = v.cast("array<double>")
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / F.size(v)
-    return F.transform(v, lambda x: x / F.sqrt(mean + eps))
+    def scaled(x: Column) -> Column:
+        mean = F.aggregate(x, F.lit(0.0), lambda a, e: a + e * e) / F.size(x)
+        return let(F.sqrt(mean + eps), lambda r: F.transform(x, lambda e: e / r))
+
+    return let(v.cast("array<double>"), scaled)
 
 
 def silu(v: Column) -> Column:

@@ -53,52 +53,20 @@ def timing_ratio(runs: DataFrame) -> DataFrame:
 def grid(spark, axes: dict[str, list[float]]) -> DataFrame:
     """All combinations of a few parameter values, in row-major order."""
     out = spark.range(1).select(F.lit(0).cast("long").alias("point"))
-    for name, values in axes.items():
-        v = F.posexplode(F.array(*[F.lit(float(x)) for x in values])).alias("__i", name)
-        out = out.select("*", v).withColumn("point", F.col("point") * len(values) + F.col("__i")).drop("__i")
-    return out
-
-
-def sweep_summary(points: DataFrame, by: list[str], point: str, metric: str) -> DataFrame:
-    """The first point with the least metric, and whether the metric never moves."""
-    best = F.min(F.struct(metric, point))
-    return points.groupBy(*by).agg(best.alias("b"), (F.count_distinct(metric) == 1).alias("inert")).select(*by, F.col(f"b.{point}").alias("best"), F.col(f"b.{metric}").alias(metric), "inert")
-
-
-def sampled(rows: DataFrame, by: list[str], order: str, where: Column, offset: int, stride: int, limit: int) -> DataFrame:
-    """Filter, skip, take every ``stride``-th, stop after ``limit``, per group: a sampling operator."""
-    rn = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    k = F.col("__rn") - offset
-    return rows.filter(where).withColumn("__rn", rn).filter((k >= 0) & (k % stride == 0) & (k / stride < limit)).drop("__rn")
-
-
-def beats(a: dict[str, Column], b: dict[str, Column], eps: float) -> Column:
-    """Better than ``b`` by ``eps`` on one metric (less is better) and worse on none."""
-    better, worse = F.lit(False), F.lit(False)
-    for k in a:
-        better, worse = better | (a[k] < b[k] - eps), worse | (a[k] > b[k] + eps)
-    return better & ~worse
-
-
-def coordinate_descent(start: dict[str, float], axes: dict[str, list[float]], evaluate, eps: float = 1e-9) -> tuple[dict[str, float], float]:
-    """Sweep one parameter after the other, keeping a value that improves by ``eps``.
-
-    ``evaluate`` maps a list of settings to their metrics, so each sweep is one distributed job.
-    The optimum at the edge of an axis is followed by up to three further steps beyond it.
-    """
-    best = dict(start)
-    score = evaluate([best])[0]
     for name, values in axes.items():
         values = list(values)
-        for _ in range(4):
-            metrics = evaluate([best | {name: v} for v in values])
-            k = min(range(len(values)), key=lambda i: (metrics[i], i))
-            if metrics[k] < score - eps:
-                best, score = best | {name: values[k]}, metrics[k]
-            else:
-                break
-            if k not in (0, len(values) - 1) or len(values) < 2:
+        metrics = evaluate([best | {name: v} for v in values])
+        k = min(range(len(values)), key=lambda i: (metrics[i], i))
+        if metrics[k] >= score - eps:
+            continue
+        best, score = best | {name: values[k]}, metrics[k]
+        if len(values) < 2 or k not in (0, len(values) - 1):
+            continue
+        step = values[k] - values[k - 1] if k else values[0] - values[1]
+        for _ in range(3):
+            further = best | {name: best[name] + step}
+            metric = evaluate([further])[0]
+            if metric >= score - eps:
                 break
-            step = values[k] - values[k - 1] if k else values[0] - values[1]
-            values = [values[k] + step]
+            best, score = further, metric
     return best, score
