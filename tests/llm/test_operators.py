@@ -174,9 +174,9 @@ def test_near_duplicates_at_a_similarity(spark):
 
 def test_decontamination(spark):
     rows = sample_rows()
-    items = [(1, "w1 w2 w3"), (2, rows[64 + 2][1] if rows[66][1] else "q"), (10, " ".join(rows[5][1].split()[:15])), (3, ""), (4, None), (5, "nothing here of that kind")]
+    items = [(1, "w1 w2 w3"), (2, rows[68][1]), (10, " ".join(rows[5][1].split()[:15])), (3, ""), (4, None), (5, "nothing here of that kind")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (50_000_000, 60):
+    for limit in (50_000_000, 1_000):
         out = decontamination.decontaminate(docs(spark, rows), bench, max_window_words=limit).collect()
         got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in out), key=repr)
         expected = []
