@@ -1,13 +1,16 @@
 """Line deduplication by pairwise alignment (operator 5).
 
-Documents overlap where they share a line's hash. For every repeated line the document with the
-least id is its *first holder*, and each later document is paired with the first holders of its
-lines: a line held by a third of all documents makes one pair for each of them, not one for
-every two. A pair is aligned by patience diff: lines that stand once in both documents are
-anchors, their longest increasing run is kept, and each anchor is extended up and down
-while the lines agree. Aligned blocks of at least ``min_words`` words are deleted from the later
-document. What the first holder has around a shared line (``CONTEXT`` lines on each side) travels
-with the line, so the first holder itself isn't copied to its partners.
+What may be deleted is a block of consecutive lines with at least ``min_words`` words that an
+earlier document has too. Its evidence is the *run*: from each line on, and back from each line,
+the fewest consecutive lines that reach ``min_words``. Every line of such a block lies in a run inside the
+block, so runs find all of them, and a run is rare where a single short line is not.
+
+For every repeated run the document with the least id is its *first holder*, and each later document
+is paired with the first holders of its runs: a run held by a third of all documents makes one
+pair for each of them, not one for every two. A pair is aligned by patience diff: runs that stand once in
+both documents are anchors, their longest increasing run is kept, and overlapping anchors join into
+blocks, which are deleted from the later document. Shared runs that the alignment leaves over stand in
+another order or repeatedly; ``moved`` deletes these blocks too.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quillspark.storage import materialise
 
-CONTEXT = 4
+#: Odd multiplier of the runs' polynomial hash modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -39,123 +43,138 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_blocks(later: list[int], matches: list[tuple[int, int, bool]], known: dict[int, int], taken: set[int]) -> list[list[int]]:
-    """Blocks of line numbers of ``later`` aligned with an earlier document.
+def aligned_runs(shared: list[tuple[int, int, int, bool]]) -> list[tuple[int, int]]:
+    """``(first line, lines)`` of the shared runs that patience diff keeps.
 
-    ``matches``: (line of later, line of earlier, stands once in both). ``known``: hashes of the
-    earlier document's lines near the matches. Lines in ``taken`` are left out.
+    ``shared``: (first line in the later document, lines, first line in the earlier one, whether
+    the run stands once in both). Without a run that stands once, all of them are candidates.
     """
-    open_ = [m for m in matches if m[0] not in taken]
-    anchors = [m for m in open_ if m[2]] or open_
-    anchors.sort()
-    kept = [anchors[i] for i in longest_increasing([m[1] for m in anchors])]
-    aligned: dict[int, int] = {}
-    for n, (q, p, _) in enumerate(kept):
-        if q in aligned:
-            continue
-        aligned[q] = p
-        up = kept[n - 1][0] if n else -1
-        down = kept[n + 1] if n + 1 < len(kept) else (len(later), 1 << 60, True)
-        for step, stop in ((-1, lambda y, x: y <= up), (1, lambda y, x: y >= down[0] or x >= down[1])):
-            y, x = q + step, p + step
-            while 0 <= y < len(later) and not stop(y, x) and y not in taken and y not in aligned and known.get(x) == later[y]:
-                aligned[y] = x
-                y, x = y + step, x + step
-    blocks: list[list[int]] = []
-    for q in sorted(aligned):
-        if blocks and blocks[-1][-1] == q - 1 and aligned[q] == aligned[q - 1] + 1:
-            blocks[-1].append(q)
-        else:
-            blocks.append([q])
-    return blocks
-
-
-def duplicate_lines(hashes: list[int], sizes: list[int], matches: list[dict], min_words: int) -> list[int]:
-    """Numbers of the lines to delete from a document, given its matches with first holders."""
-    from collections import Counter
+    length: dict[tuple[int, int], int] = {}
+    for pos, lines, theirs, _ in [s for s in shared if s[3]] or shared:
+        length[pos, theirs] = max(lines, length.get((pos, theirs), 0))
+    anchors = sorted(length)
+    return [(anchors[i][0], length[anchors[i]]) for i in longest_increasing([a[1] for a in anchors])]
+
+
+def covered(runs: list[tuple[int, int]]) -> list[int]:
+    """Sorted numbers of the lines that lie in any of the runs."""
+    out: list[int] = []
+    end = 0
+    for pos, lines in sorted(runs):
+        out.extend(range(max(pos, end), pos + lines))
+        end = max(end, pos + lines)
+    return out
 
-    once = {h for h, n in Counter(hashes).items() if n == 1}
-    partners: dict[int, list[dict]] = {}
+
+def duplicate_lines(matches: list[dict], moved: bool) -> list[int]:
+    """Numbers of the lines to delete from a document, given its matches with first holders."""
+    partners: dict[int, list[tuple[int, int, int, bool]]] = {}
     for m in matches:
-        partners.setdefault(m["holder"], []).append(m)
-    gone: set[int] = set()
-    for _, shared in sorted(partners.items()):
-        known = {m["holder_pos"] + i - m["before"]: h for m in shared for i, h in enumerate(m["context"])}
-        listed = [(m["pos"], m["holder_pos"], m["single"] and hashes[m["pos"]] in once) for m in shared]
-        while True:
-            long = [b for b in aligned_blocks(hashes, listed, known, gone) if sum(sizes[q] for q in b) >= min_words]
-            if not long:
-                break
-            gone.update(q for b in long for q in b)
-    return sorted(gone)
-
-
-def line_duplicates(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, mix, deleted``: line numbers to delete, for documents that have any.
+        partners.setdefault(m["holder"], []).append((m["pos"], m["lines"], m["holder_pos"], m["single"] and m["holder_single"]))
+    gone: list[tuple[int, int]] = []
+    for shared in partners.values():
+        gone += aligned_runs(shared)
+        if moved:  # what is left over aligns with the earlier document on its own
+            gone += [s[:2] for s in shared]
+    return covered(gone)
 
-    ``mix`` is the hash of the text: with the id it names a row, and equal rows share a decision.
+
+def minimal_runs(hashes, sizes, begins, min_words: int):
+    """Minimal runs of many documents at once: ``start, lines, hash, once``, by their start.
+
+    ``hashes`` and ``sizes``: of the lines of all documents, one after another; ``begins``: where
+    each document begins, and the end. ``once``: whether the document has the run once.
     """
+    import numpy as np
+
+    n = len(hashes)
+    words = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    solid = np.flatnonzero(sizes > 0)
+    ends = np.searchsorted(words, words[solid] + min_words, side="left")
+    on = ends <= begins[owner[solid] + 1]
+    starts = np.searchsorted(words, words[solid + 1] - min_words, side="right") - 1
+    back = starts >= begins[owner[solid]]
+    code = np.unique(np.concatenate([solid[on] * (n + 1) + ends[on], starts[back] * (n + 1) + solid[back] + 1]))
+    start, end = code // (n + 1), code % (n + 1)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
+    inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)]))
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power[:n])])
+    value = (prefix[end] - prefix[start]) * inverse[start]
+    order = np.lexsort((end - start, value, owner[start]))
+    same = (np.diff(owner[start][order]) == 0) & (np.diff(value[order].view(np.int64)) == 0) & (np.diff((end - start)[order]) == 0)
+    once = np.ones(len(start), bool)
+    once[order[1:][same]] = once[order[:-1][same]] = False
+    return start, end - start, value.view(np.int64), once
+
+
+def _runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, mix, pos, lines, run, head, single``: the minimal runs of every document, stored."""
     split = F.split(F.col(text_col), "\n")
-    lines = materialise(
-        docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.xxhash64(F.col(text_col)).alias("mix"),
-            F.transform(split, lambda s: F.xxhash64(F.trim(s))).alias("hashes"),
-            F.transform(split, lambda s: F.size(F.array_remove(F.split(F.trim(s), "\\s+"), ""))).alias("sizes"),
-        )
-        .dropDuplicates(["doc_id", "mix"]),
-        "lines",
+    lines = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text_col)).alias("mix"),
+        F.transform(split, lambda s: F.xxhash64(F.trim(s))).alias("hashes"),
+        F.transform(split, lambda s: F.size(F.array_remove(F.split(F.trim(s), "\\s+"), ""))).alias("sizes"),
     )
-    held = lines.select("doc_id", "mix", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("pos", "x")).filter("x.sizes > 0")
-    held = held.select("doc_id", "mix", "pos", F.col("x.hashes").alias("hash"))
+
+    def find(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("hashes")
+            begins = column.offsets.to_numpy().astype(np.int64)
+            hashes, sizes = column.flatten().to_numpy(zero_copy_only=False), batch.column("sizes").flatten().to_numpy(zero_copy_only=False)
+            start, count, value, once = minimal_runs(hashes, sizes, begins - begins[0], max(1, min_words))
+            doc = np.searchsorted(begins - begins[0], start, side="right") - 1
+            numbers = [batch.column(c).to_numpy()[doc] for c in ("doc_id", "mix")] + [(start - (begins - begins[0])[doc]).astype(np.int32), count.astype(np.int32), value, hashes[start], once]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in numbers], names=["doc_id", "mix", "pos", "lines", "run", "head", "single"])
+
+    return materialise(lines.mapInArrow(find, "doc_id long, mix long, pos int, lines int, run long, head long, single boolean"), "runs")
+
+
+def line_duplicates(docs: DataFrame, min_words: int = 50, moved: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, mix, deleted``: line numbers to delete, for documents that have any.
+
+    ``mix`` is the hash of the text: with the id it names a row, and equal rows share a decision.
+    """
+    key = ["run", "head", "lines"]
+    runs = _runs(docs, min_words, id_col, text_col)
     first = (
-        held.groupBy("hash")
-        .agg(F.min(F.struct("doc_id", "mix", "pos")).alias("first"), F.max("doc_id").alias("last"))
+        runs.groupBy(*key)
+        .agg(F.min(F.struct("doc_id", "mix", "pos", "single")).alias("first"), F.max("doc_id").alias("last"))
         .filter("last > first.doc_id")
-        .select("hash", F.col("first.doc_id").alias("holder"), F.col("first.mix").alias("holder_mix"), F.col("first.pos").alias("holder_pos"))
-    )
-    around = lines.select(F.col("doc_id").alias("holder"), F.col("mix").alias("holder_mix"), F.col("hashes").alias("theirs"))
-    before = F.least("holder_pos", F.lit(CONTEXT))
-    first = materialise(
-        first.join(around, ["holder", "holder_mix"]).select(
-            "hash",
-            "holder",
-            "holder_pos",
-            before.alias("before"),
-            F.slice("theirs", F.col("holder_pos") - before + 1, before + 1 + CONTEXT).alias("context"),
-            (F.size(F.filter("theirs", lambda h: h == F.col("hash"))) == 1).alias("single"),
-        ),
-        "first-holders",
+        .select(*key, F.col("first.doc_id").alias("holder"), F.col("first.pos").alias("holder_pos"), F.col("first.single").alias("holder_single"))
     )
+    first = materialise(first, "first-holders")
     matches = (
-        held.join(first, "hash")
+        runs.join(first.hint("merge"), key)
         .filter("doc_id > holder")
         .groupBy("doc_id", "mix")
-        .agg(F.collect_list(F.struct("pos", "holder", "holder_pos", "before", "context", "single")).alias("matches"))
+        .agg(F.collect_set(F.struct("pos", "lines", "holder", "holder_pos", "single", "holder_single")).alias("matches"))
     )
 
     def decide(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("mix", pa.int64()), ("deleted", pa.list_(pa.int32()))])
         for batch in batches:
-            rows = [(r["doc_id"], r["mix"], duplicate_lines(r["hashes"], r["sizes"], r["matches"], min_words)) for r in batch.to_pylist()]
-            rows = [r for r in rows if r[2]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            deleted = [duplicate_lines(m.as_py(), moved) for m in batch.column("matches")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mix"), pa.array(deleted, pa.list_(pa.int32()))], names=["doc_id", "mix", "deleted"])
 
-    found = lines.join(matches, ["doc_id", "mix"]).mapInArrow(decide, "doc_id long, mix long, deleted array<int>")
-    return materialise(found, "duplicate-lines")
+    return materialise(matches.mapInArrow(decide, "doc_id long, mix long, deleted array<int>").filter("size(deleted) > 0"), "duplicate-lines")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, moved: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated blocks deleted from ``text``, plus ``lines_total`` and ``lines_deleted``.
 
     Null texts and ids are passed through, as are blank lines unless inside a deleted block's
     place; documents with equal ids aren't paired with each other. A document left without
     lines has an empty text. An empty table stays empty, and further columns are kept.
     """
-    doomed = line_duplicates(docs, min_words, id_col, text_col).withColumnsRenamed({"doc_id": "__id", "mix": "__mix", "deleted": "__deleted"})
+    doomed = line_duplicates(docs, min_words, moved, id_col, text_col).withColumnsRenamed({"doc_id": "__id", "mix": "__mix", "deleted": "__deleted"})
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
     # sorted and merged at every size: the list of lines grows with the corpus and isn't broadcast
     joined = keyed.join(doomed.hint("merge"), (keyed[id_col] == doomed["__id"]) & (keyed["__key"] == doomed["__mix"]), "left")

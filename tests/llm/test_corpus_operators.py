@@ -215,6 +215,43 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_equals_a_plain_comparison(spark):
+    rng = random.Random(8)
+    kinds = ["", "one two three", " one two three ", "a b", "c d e f", "g", "h i j k l m n", "o p q r s t u v w"]
+    rows = [(i, "\n".join(rng.choices(kinds, k=rng.randint(0, 14)))) for i in range(60)]
+    rows += [(60, rows[9][1]), (9, rows[9][1]), (61, "\n".join(rows[9][1].split("\n")[::-1]))]
+    split = [(i, [line.strip(" ") for line in t.split("\n")]) for i, t in rows]
+
+    def plain(doc, lines):
+        gone = set()
+        for other, theirs in split:
+            for shift in range(-len(theirs), len(lines)) if other < doc else ():
+                block = []
+                for q in range(len(lines) + 1):
+                    if q < len(lines) and 0 <= q - shift < len(theirs) and lines[q] == theirs[q - shift]:
+                        block.append(q)
+                        continue
+                    while block and not lines[block[-1]]:
+                        block.pop()
+                    while block and not lines[block[0]]:
+                        block.pop(0)
+                    if sum(len(lines[b].split()) for b in block) >= 12:
+                        gone.update(block)
+                    block = []
+        return len(gone)
+
+    got = sorted((r.doc_id, r.lines_deleted) for r in line_dedup.dedup_lines(docs(spark, rows), min_words=12).collect())
+    assert got == sorted((i, plain(i, lines)) for i, lines in split) and any(n for _, n in got)
+
+
+def test_patience_keeps_runs_in_order():
+    shared = [(0, 2, 10, True), (2, 2, 0, True), (4, 3, 12, True), (8, 2, 13, True), (4, 2, 12, True), (20, 2, 30, False)]
+    assert line_dedup.aligned_runs(shared) in ([(0, 2), (4, 3), (8, 2)], [(2, 2), (4, 3), (8, 2)])
+    matches = [dict(zip(("pos", "lines", "holder_pos", "single"), s), holder=1, holder_single=True) for s in shared]
+    assert len(line_dedup.duplicate_lines(matches, moved=False)) == 7
+    assert line_dedup.duplicate_lines(matches, moved=True) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 20, 21]
+
+
 def test_longest_increasing():
     rng = random.Random(1)
     for _ in range(100):
