@@ -180,3 +180,29 @@ def table_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFr
     """Keys of either side whose values differ or are missing."""
     both = a.select(key, F.col(value).alias("left")).join(b.select(key, F.col(value).alias("right")), key, "full")
     return both.filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def automaton_size(words: DataFrame, word: str = "word") -> DataFrame:
+    """States and transitions of the minimal automaton that accepts the words: one row.
+
+    Two prefixes share a state if the same suffixes may follow. Suffix sets are told apart by
+    their size and two order-free sums of hashes, so no set is collected; null words are left out.
+    """
+    w = F.col(word)
+    cuts = words.filter(w.isNotNull()).select(w.alias("w")).distinct().select("w", F.explode(F.sequence(F.lit(0), F.length("w"))).alias("i"))
+    suffix = F.substr("w", F.col("i") + 1, F.length("w") - F.col("i"))
+    sets = cuts.groupBy(F.substr("w", F.lit(1), F.col("i")).alias("prefix")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(suffix)).alias("a"), F.bit_xor(F.xxhash64(suffix, F.lit(1))).alias("b"))
+    state = F.struct("n", "a", "b")
+    arcs = cuts.filter("i < length(w)").select(F.substr("w", F.lit(1), F.col("i")).alias("prefix"), F.substr("w", F.col("i") + 1, F.lit(1)).alias("next")).distinct()
+    states = sets.select(state.alias("s")).distinct().agg(F.count("*").alias("states"))
+    transitions = arcs.join(sets, "prefix").select(state.alias("s"), "next").distinct().agg(F.count("*").alias("transitions"))
+    return states.join(F.broadcast(transitions))  # one row each
+
+
+def rule_violations(rules: DataFrame) -> DataFrame:
+    """What makes a confusion table invalid: ``a, b, context, violation``, a row for each rule and kind."""
+    many = F.count("*").over(Window.partitionBy("a", "b", "context")) > 1
+    kinds = F.array(
+        F.when(many, "duplicate"), F.when(F.col("a") == F.col("b"), "same class"), F.when(~F.col("favour").isin(F.col("a"), F.col("b")), "favours neither"), F.when(~(F.col("adjust") > 0), "not positive")
+    )
+    return rules.withColumn("k", kinds).select("a", "b", "context", F.explode(F.array_compact("k")).alias("violation"))

@@ -247,3 +247,60 @@ def run_lengths(rows: DataFrame, by: list[str], order: str, key: str) -> DataFra
     cut = ~F.col(key).eqNullSafe(F.lag(key).over(_ordered(by, order))) & F.lag(F.lit(1)).over(_ordered(by, order)).isNotNull()
     runs = segment(rows, by, [order], cut, "run")
     return runs.groupBy(*by, "run").agg(F.first(key).alias(key), F.min(order).alias("first"), F.count("*").alias("n"))
+
+
+def edge_centre(x0: Column, x1: Column, pitch: Column, left: bool) -> Column:
+    """Centre of the outer slice of a run of touching cells, which holds at least two."""
+    half = (x1 - x0) / F.greatest(F.floor((x1 - x0) / pitch + 0.5), F.lit(2)) / 2
+    return x0 + half if left else x1 - half
+
+
+def shares_column(a0: Column, a1: Column, b0: Column, b1: Column, share: float) -> Column:
+    """Whether two spans overlap in at least ``share`` of the narrower one."""
+    return F.least(a1, b1) - F.greatest(a0, b0) >= share * F.least(a1 - a0, b1 - b0)
+
+
+def column_matches(anchors: DataFrame, boxes: DataFrame, by: list[str], share: float, strict: bool = False) -> DataFrame:
+    """``by, row, found, right_edge``: for each row other than the anchor's, how many boxes share its column.
+
+    ``anchors`` has one box per group (``row, x0, x1``). The right edge is null unless exactly one box
+    matches. ``strict``: a box alone in its row doesn't match if it overlaps a sibling of the anchor.
+    """
+    anchor = anchors.select(*by, F.col("row").alias("own_row"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    rows = boxes.join(anchor, by)
+    match = shares_column(F.col("a0"), F.col("a1"), F.col("x0"), F.col("x1"), share)
+    if strict:
+        siblings = rows.filter((F.col("row") == F.col("own_row")) & ~((F.col("x0") == F.col("a0")) & (F.col("x1") == F.col("a1"))))
+        spans = siblings.select(*by, F.col("x0").alias("s0"), F.col("x1").alias("s1"))
+        numbered = rows.withColumn("alone", F.count("*").over(Window.partitionBy(*by, "row")) == 1)
+        touched = numbered.filter("alone and row <> own_row").join(spans, by).filter("x0 < s1 and s0 < x1").select(*by, "row").distinct().withColumn("touched", F.lit(True))
+        rows = numbered.join(touched, [*by, "row"], "left")
+        match &= F.col("touched").isNull()
+    counted = rows.filter("row <> own_row").groupBy(*by, "row").agg(F.count_if(match).alias("found"), F.max(F.when(match, F.col("x1"))).alias("right_edge"))
+    return counted.withColumn("right_edge", F.when(F.col("found") == 1, F.col("right_edge")))
+
+
+def column_extents(anchors: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
+    """``by, extent``: the widest right edge over the unbroken rows around the anchor with one match each."""
+    m = matches.join(anchors.select(*by, F.col("row").alias("own_row"), F.col("x1").alias("a1")), by)
+    group = Window.partitionBy(*by)
+    above = F.max(F.when((F.col("found") != 1) & (F.col("row") < F.col("own_row")), F.col("row"))).over(group)
+    below = F.min(F.when((F.col("found") != 1) & (F.col("row") > F.col("own_row")), F.col("row"))).over(group)
+    near = m.withColumns({"above": above, "below": below}).filter("(above is null or row > above) and (below is null or row < below)")
+    widest = near.groupBy(*by).agg(F.max("right_edge").alias("widest"))
+    return anchors.join(widest, by, "left").select(*by, F.greatest("x1", F.coalesce("widest", "x1")).alias("extent"))
+
+
+def wrap_run_lengths(lines: DataFrame, by: list[str], share: float, low: float, high: float) -> DataFrame:
+    """``by, run``: how many single-box rows after a group's first line go on in its column at a steady pitch.
+
+    ``lines``: ``row`` (from 0, gapless), ``boxes`` in the row, and its ``x0, x1, y``.
+    """
+    w = _ordered(by, "row")
+    before = {f"p_{c}": F.lag(c).over(w) for c in ("x0", "x1", "y")}
+    steps = lines.withColumns(before).withColumn("gap", F.col("y") - F.col("p_y"))
+    first = F.max(F.when(F.col("row") == 1, F.col("gap"))).over(Window.partitionBy(*by))
+    steady = (F.col("row") == 1) | F.coalesce(F.try_divide("gap", first).between(low, high), F.lit(False))
+    goes_on = (F.col("boxes") == 1) & shares_column(F.col("p_x0"), F.col("p_x1"), F.col("x0"), F.col("x1"), share) & (F.col("gap") > 0) & steady
+    stops = steps.withColumn("stop", F.when((F.col("row") > 0) & ~goes_on, F.col("row")))
+    return stops.groupBy(*by).agg(F.coalesce(F.min("stop") - 1, F.max("row")).cast("long").alias("run"))

@@ -107,3 +107,8 @@ def load_status(table: dict | None, version: int) -> str:
     if table.get("version") != version:
         return "unsupported"
     return "loaded" if table.get("layers") and all(len(x) for x in table["layers"]) else "malformed"
+
+
+def load_status(present: Column, supported: Column, well_formed: Column) -> Column:
+    """What loading a network's tables comes to; anything but ``Loaded`` falls back to prototypes."""
+    return F.when(~present, "Absent").when(~supported, "Unsupported").when(~well_formed, "Malformed").otherwise("Loaded")

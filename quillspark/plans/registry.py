@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "r01_corpus_split"
-SUITES = ("text", "scoring", "corpus", "raster", "features", "layout", "matching", "decoding", "confidence", "reports", "neural", "files", "engine")
+SUITES = ("text", "scoring", "corpus", "raster", "features", "layout", "matching", "decoding", "confidence", "reports", "neural", "files", "engine", "supporting")
 
 
 def _suites():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import hashing
 from quillspark.graph import connected_components
-from quillspark.operators import decoding, features, layout, reports, scoring
+from quillspark.operators import bpe, decoding, features, layout, reports, scoring
 from quillspark.operators.engine import Engine
 from quillspark.sources import readers
 
@@ -139,3 +139,45 @@ def test_graymaps(spark, tmp_path):
 def test_visual_rows(spark):
     boxes = spark.createDataFrame([(1, 1, 0, 10, 0), (1, 2, 2, 12, 5), (1, 3, 20, 30, 0)], "page int, id long, y0 int, y1 int, x0 int")
     assert {r.id: r.row for r in layout.visual_rows(boxes, "page").collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_byte_pairs_merge_the_lowest_rank_first():
+    alphabet = {c: i for i, c in enumerate(bpe.byte_symbols())}
+    merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "d"), ("a", "a"), ("ab", "ab")]
+    vocabulary = alphabet | {x + y: 256 + i for i, (x, y) in enumerate(merges)}
+    encoder = bpe.BytePairEncoder(vocabulary, merges, {"<s>": 999, "<s>x": 998})
+
+    def plain(word):
+        parts = list(word)
+        while found := [p for p in merges if p in list(zip(parts, parts[1:]))]:
+            joined, i = [], 0
+            while i < len(parts):
+                pair = tuple(parts[i : i + 2]) == found[0]
+                joined.append("".join(parts[i : i + 1 + pair]))
+                i += 1 + pair
+            parts = joined
+        return [vocabulary[p] for p in parts]
+
+    rng = random.Random(5)
+    for _ in range(500):
+        word = "".join(rng.choices("abcd", k=rng.randint(1, 12)))
+        assert encoder.encode(word) == plain(word)
+    assert encoder.encode("a<s>xb") == [vocabulary["a"], 998, vocabulary["b"]] and encoder.encode(None) == []
+
+
+def test_byte_pairs_equal_the_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        content = f.read()
+    encoder, library = bpe.BytePairEncoder.from_json(content), Tokenizer.from_str(content)
+    texts = ["internationalisation", "straße naïve", " the quick brown fox", "zzzzzzzzz" * 50, "<|endoftext|>"]
+    rows = spark.createDataFrame(list(enumerate(texts + [None])), "id long, text string")
+    got = {r.id: r.ids for r in bpe.encode_texts(rows, encoder, "id", "text").collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)} | {len(texts): []}
+
+
+def test_automaton_size(spark):
+    words = spark.createDataFrame([(w,) for w in ("tap", "taps", "top", "tops", None, "top")], "word string")
+    assert tuple(decoding.automaton_size(words).first()) == (5, 5)
