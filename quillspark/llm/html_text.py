@@ -29,6 +29,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CONTAINERS = frozenset(("article", "main"))
+#: Elements that an open paragraph outside isn't closed from.
+P_BOUNDS = CONTAINERS | {"table", "div", "section", "blockquote", "li", "td"}
 #: An open element that a start tag closes, with the elements that bound the search.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -73,33 +75,60 @@ def _unwanted(tag: str, attrs, inside: bool) -> bool:
 
 
 class LineParser(HTMLParser):
-    """Lines of a page: text, tags, characters in links, and the open elements around it."""
+    """Lines of a page: text, tags, characters in links, and the innermost element around it.
+
+    Elements are numbered in page order from 1, so an element's descendants have the numbers that
+    follow its own. The depths at which each tag is open are kept, so that no tag costs more on a deep page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int]] = []  # tag, number of the element
+        self.open: list[tuple[str, int]] = []  # tag, number of the element (0 inside furniture)
+        self.depths: dict[str, list[int]] = {}
         self.skipped = 0  # depth of the outermost furniture element, or 0
-        self.elements = 0
+        self.tag_of = [""]
+        self.parent = [0]
         self.inside = 0
-        self.lines: list[tuple[str, int, int, tuple]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
         self.link_chars = 0
         self.links = 0
-        self.path: tuple = ()
+        self.at = 0
 
     def _break(self):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.link_chars, self.path))
+                self.lines.append((text, self.tags, self.link_chars, self.at))
             self.text = []
         self.tags = self.link_chars = 0
 
+    def _push(self, tag: str, number: int):
+        self.depths.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, number))
+
+    def _pop_to(self, depth: int):
+        """Close all from ``depth`` on; furniture and what is in it was never counted."""
+        for n in range(len(self.open) - 1, depth - 1, -1):
+            tag, number = self.open.pop()
+            self.depths[tag].pop()
+            if number and not (self.skipped and n >= self.skipped - 1):
+                self.inside -= tag in CONTAINERS
+                self.links -= tag == "a"
+
+    def _innermost(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+    def _close_to(self, tags, stop):
+        depth = self._innermost(tags)
+        if depth > self._innermost(stop):
+            self._pop_to(depth)
+
     def handle_starttag(self, tag, attrs):
         if self.skipped:
             if tag not in VOID:
-                self.open.append((tag, 0))
+                self._push(tag, 0)
             return
         if tag in VOID:
             if tag == "br":
@@ -110,19 +139,16 @@ class LineParser(HTMLParser):
             return
         if tag not in INLINE:
             self._break()
-            while self.open and self.open[-1][0] == "p" and tag != "p":
-                break
-            if any(t == "p" for t, _ in self.open):
-                self._close_to({"p"}, CONTAINERS | {"table", "div", "section", "blockquote", "li", "td"})
+            self._close_to(("p",), P_BOUNDS)
             if tag in CLOSES:
                 self._close_to(*CLOSES[tag])
         self.tags += 1
-        self.elements += 1
-        self.open.append((tag, self.elements))
+        self.parent.append(self.open[-1][1] if self.open else 0)
+        self.tag_of.append(tag)
+        self._push(tag, len(self.tag_of) - 1)
         if _unwanted(tag, attrs, bool(self.inside)):
             self.skipped = len(self.open)
-            return
-        if tag in CONTAINERS:
+        elif tag in CONTAINERS:
             self.inside += 1
         elif tag == "a":
             self.links += 1
@@ -132,41 +158,19 @@ class LineParser(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _pop_to(self, depth: int):
-        for tag, number in reversed(self.open[depth:]):
-            if number and tag in CONTAINERS and not self.skipped:
-                self.inside -= 1
-            elif number and tag == "a" and not self.skipped:
-                self.links -= 1
-        del self.open[depth:]
-
-    def _close_to(self, tags: set, stop: set):
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name in stop:
-                return
-            if name in tags:
-                self._pop_to(depth)
-                return
-
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                break
-        else:
+        depth = self._innermost((tag,))
+        if depth < 0:
             return
         if self.skipped:
-            if depth >= self.skipped:
-                del self.open[depth:]
-                return
-            if depth == self.skipped - 1:
-                # the furniture element itself ends; it was never counted as a container
-                del self.open[depth:]
-                self.skipped = 0
+            if depth < self.skipped - 1 and (tag in INLINE or tag == "p"):
                 return
-            if tag in INLINE or tag == "p":
+            ends_furniture = depth < self.skipped
+            if depth >= self.skipped - 1:
+                self._pop_to(depth)
+                self.skipped = 0 if ends_furniture else self.skipped
                 return
-            del self.open[self.skipped - 1 :]
+            self._pop_to(self.skipped - 1)
             self.skipped = 0
         if tag not in INLINE:
             self._break()
@@ -176,8 +180,8 @@ class LineParser(HTMLParser):
     def handle_data(self, data):
         if self.skipped:
             return
-        if not self.text or not self.path:
-            self.path = tuple(self.open)
+        if not self.text or not self.at:
+            self.at = self.open[-1][1] if self.open else 0
         self.text.append(data)
         if self.links:
             self.link_chars += len(data)
@@ -215,25 +219,27 @@ def main_text(html: str | None) -> str:
     mean = sum(smooth) / len(smooth)
     threshold = min((sum((v - mean) ** 2 for v in smooth) / len(smooth)) ** 0.5, max(smooth))
     content = [v >= threshold and link <= len(text) / 2 for v, (text, _, link, _) in zip(smooth, lines)]
-    weight: dict[int, int] = {}
-    explicit: set[int] = set()
-    depth: dict[int, int] = {}
-    for chosen, (text, _, _, path) in zip(content, lines):
-        for d, (tag, number) in enumerate(path):
-            depth[number] = d
-            weight[number] = weight.get(number, 0) + (len(text) if chosen else 0)
-            if tag in CONTAINERS:
-                explicit.add(number)
-    articles = {n for n in explicit if any(n == m and t == "article" for _, _, _, p in lines for t, m in p)} if len(explicit) > 1 else explicit
-    if articles or explicit:
-        region = max(articles or explicit, key=lambda n: (weight[n], -n))
-        kept = [text for text, _, _, path in lines if any(number == region for _, number in path)]
-        return "\n".join(kept)
-    total = sum(len(text) for chosen, (text, *_) in zip(content, lines) if chosen)
-    enough = [n for n in weight if weight[n] >= SHARE * total and weight[n]]
-    region = max(enough, key=lambda n: (depth[n], -n), default=None)
-    within = [(c, line) for c, line in zip(content, lines) if region is None or any(number == region for _, number in line[3])]
-    return "\n".join(text for chosen, (text, _, link, _) in within if chosen or link <= 0.8 * len(text))
+    count = len(parser.tag_of)
+    weight, held, last = [0] * count, [0] * count, list(range(count))
+    for chosen, (text, _, _, at) in zip(content, lines):
+        weight[at] += len(text) if chosen else 0
+        held[at] += 1
+    for n in range(count - 1, 0, -1):  # children before parents
+        up = parser.parent[n]
+        weight[up] += weight[n]
+        held[up] += held[n]
+        last[up] = max(last[up], last[n])
+    depth = [0] * count
+    for n in range(1, count):
+        depth[n] = depth[parser.parent[n]] + 1
+    explicit = [n for n in range(1, count) if held[n] and parser.tag_of[n] in CONTAINERS]
+    articles = [n for n in explicit if parser.tag_of[n] == "article"] or explicit
+    if articles:
+        region = max(articles, key=lambda n: (weight[n], -n))
+        return "\n".join(text for text, _, _, at in lines if region <= at <= last[region])
+    enough = [n for n in range(1, count) if weight[n] and weight[n] >= SHARE * weight[0]]
+    region = max(enough, key=lambda n: (depth[n], -n), default=0)
+    return "\n".join(text for chosen, (text, _, link, at) in zip(content, lines) if region <= at <= last[region] and (chosen or link <= 0.8 * len(text)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
