@@ -214,8 +214,22 @@ WIDTH = 2048
 CHECKED = 256
 
 
-def projected_fingerprints(texts, size: int):
-    """2048-bit SimHash of each text's set of shingles, as a uint8 array of packed bits.
+def few_shingles(similarity: float) -> int:
+    """Two sets, one of fewer shingles than this, are as similar only if the other has the same and at most one more."""
+    import math
+
+    return math.ceil(round(2 * similarity / max(1 - similarity, 0.03), 9))
+
+
+def shingle_set(text: str | None, size: int):
+    """The distinct shingle hashes of a text, sorted, as a uint64 array."""
+    import numpy as np
+
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def projected_fingerprints(sets):
+    """2048-bit SimHash of each set of shingles, as a uint8 array of packed bits.
 
     The set is summed into 2048 signed cells by hash, and a Walsh-Hadamard transform turns these
     into as many projections, whose signs are the bits. Two bits differ with the probability of
@@ -223,16 +237,15 @@ def projected_fingerprints(texts, size: int):
     """
     import numpy as np
 
-    x = np.zeros((len(texts), WIDTH), np.float32)
-    for i, text in enumerate(texts):
-        h = np.array(list(set(shingle_hashes(text, size))), np.uint64)
+    x = np.zeros((len(sets), WIDTH), np.float32)
+    for i, h in enumerate(sets):
         if len(h):
             sign = (h >> np.uint64(32) & np.uint64(1)).astype(np.float32) * 2 - 1
             x[i] = np.bincount((h & np.uint64(WIDTH - 1)).astype(np.int64), sign, WIDTH)
     x *= np.random.default_rng(42).choice(np.array([-1, 1], np.float32), WIDTH)
     step = 1
     while step < WIDTH:
-        y = x.reshape(len(x), -1, 2, step)
+        y = x.reshape(len(x), WIDTH // (2 * step), 2, step)
         x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(len(x), WIDTH)
         step *= 2
     return np.packbits(x > 0, axis=1)
@@ -253,24 +266,45 @@ def block_plan(similarity: float, n: int, recall: float = 0.98) -> tuple[int, in
     return bits, blocks, math.ceil(CHECKED * apart + math.sqrt(CHECKED * apart * (1 - apart)))
 
 
+def few_shingle_edges(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges from sets of under ``few_shingles``, exactly; ``less`` has a set's hash without each shingle."""
+    # n - 1 over n is the similarity of a set of n to one without one of its shingles
+    wider = classes.filter((F.col("n") > 1) & ((F.col("n") - 1) / F.col("n") >= similarity)).select(F.col("class").alias("v"), (F.col("n") - 1).alias("n"), F.explode("less").alias("u"))
+    few = classes.filter(F.col("n") < few_shingles(similarity)).select(F.col("class").alias("u"), "n")
+    return wider.join(few.hint("merge"), ["u", "n"]).select("u", "v")
+
+
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, mix, keep``: of each row, its id, its text's hash and its group's least id.
 
-    Texts without words are one group. Null ids are never a group's least id unless it has no other.
+    A class is a set of shingles, named by the wrapping sum of its hashes: texts of other shingles are
+    never merged for an equal fingerprint. Texts without words are one group. Null ids are never a
+    group's least id unless it has no other.
     """
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mix"), F.col(text_col).alias("text"))
 
+    limit = few_shingles(similarity)
+
     def hashed(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                bits = projected_fingerprints(part.column("text").to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mix"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "mix", "fp"])
-
-    rows = materialise(inputs.mapInArrow(hashed, "doc_id long, mix long, fp binary").withColumn("class", F.xxhash64("fp")), "wide-fingerprints")
-    classes = materialise(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "fingerprint-classes")
+                sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+                sums = [h.sum(dtype=np.uint64) for h in sets]
+                bits = iter(projected_fingerprints([h for h in sets if len(h) >= limit]))
+                columns = {
+                    "class": pa.array(np.array(sums, np.uint64).view(np.int64)),
+                    "n": pa.array([len(h) for h in sets], pa.int32()),
+                    "less": pa.array([(s - h).view(np.int64) if len(h) <= limit else None for s, h in zip(sums, sets)], pa.list_(pa.int64())),
+                    "fp": pa.array([next(bits).tobytes() if len(h) >= limit else None for h in sets], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mix"), *columns.values()], names=["doc_id", "mix", *columns])
+
+    rows = materialise(inputs.mapInArrow(hashed, "doc_id long, mix long, class long, n int, less array<long>, fp binary"), "wide-fingerprints")
+    classes = materialise(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("less").alias("less"), F.min("fp").alias("fp")), "shingle-set-classes")
     bits, blocks, budget = block_plan(similarity, classes.count())
 
     def blocked(batches):
@@ -297,8 +331,9 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
         return batch.column("key").to_numpy(), batch.column("class").to_numpy(), words
 
     words = ", ".join(f"w{i} long" for i in range(CHECKED // 64))
-    keyed = classes.select("class", "fp").mapInArrow(blocked, f"key long, class long, {words}")
+    keyed = classes.filter("fp is not null").select("class", "fp").mapInArrow(blocked, f"key long, class long, {words}")
     edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_linker(row_of, budget), "u long, v long").distinct()
+    edges = edges.union(few_shingle_edges(classes, similarity))
     linked = connected_components(edges).withColumnRenamed("node", "class")
     labelled = classes.select("class", "least").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.groupBy("component").agg(F.min("least").alias("keep"))

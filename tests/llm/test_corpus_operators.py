@@ -172,6 +172,19 @@ def test_near_duplicates_at_a_similarity(spark):
     assert all(out[i] == i for i, _ in rows if i not in planted)
 
 
+def test_short_texts_merge_only_with_their_like(spark):
+    rng = random.Random(5)
+    texts = {" ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(1, 6))) for _ in range(4000)}
+    rows = list(enumerate(sorted(texts)))
+    base = [f"b{i}" for i in range(9)]  # five shingles
+    n = len(rows)
+    rows += [(n, " ".join(base)), (n + 1, " ".join(base[:8])), (n + 2, " ".join(base[:7])), (n + 3, " ".join(base).upper()), (n + 4, ""), (n + 5, None)]
+    out = {r.doc_id: r.keep for r in simhash.near_duplicate_groups(docs(spark, rows)).collect()}
+    assert all(out[i] == i for i in range(n))
+    # 4 of 5 shingles are shared, then 3 of 4
+    assert [out[n + i] for i in range(6)] == [n, n, n + 2, n, n + 4, n + 4]
+
+
 def test_decontamination(spark):
     rows = sample_rows()
     items = [(1, "w1 w2 w3"), (2, rows[68][1]), (10, " ".join(rows[5][1].split()[:15])), (3, ""), (4, None), (5, "nothing here of that kind")]
