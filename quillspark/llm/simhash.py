@@ -2,7 +2,8 @@
 
 Two uses share the machinery. ``simhash_components`` links 64-bit majority fingerprints at a small
 Hamming distance, exactly. ``drop_near_duplicates`` works at a *similarity* of shingle sets, for which
-64 bits are too few: it takes 2048-bit fingerprints, many blocks, and a budget on 256 bits.
+64 bits are too few: it takes 2048-bit fingerprints, many blocks, and a loose budget on 256 bits. What
+this connects is searched again by all 2048 bits, and each link is decided by the sets themselves.
 
 Fingerprints are cut into blocks. If two differ in at most ``k`` bits, they agree on all but ``k``
 of the blocks, so they share the key made of some ``blocks - k`` of them. Distinct fingerprints
@@ -212,6 +213,10 @@ def simhash_components(docs: DataFrame, size: int = 3, k: int = 2, blocks: int =
 
 WIDTH = 2048
 CHECKED = 256
+#: Cells of a shingle, unlike in weight so that their sums are hardly ever zero.
+CELLS = (1.0, 0.7, 0.45)
+#: Standard deviations that a pair at the similarity may exceed its expected distance by.
+SLACK = 3
 
 
 def few_shingles(similarity: float) -> int:
@@ -231,8 +236,8 @@ def shingle_set(text: str | None, size: int):
 def projected_fingerprints(sets):
     """2048-bit SimHash of each set of shingles, as a uint8 array of packed bits.
 
-    The set is summed into 2048 signed cells by hash, and a Walsh-Hadamard transform turns these
-    into as many projections, whose signs are the bits. Two bits differ with the probability of
+    The set is summed into 2048 signed cells, a few by hash for each shingle, and a Walsh-Hadamard
+    transform turns these into as many projections, whose signs are the bits. Two bits differ with the probability of
     the angle between the sets over pi, as with one projection per bit.
     """
     import numpy as np
@@ -240,8 +245,9 @@ def projected_fingerprints(sets):
     x = np.zeros((len(sets), WIDTH), np.float32)
     for i, h in enumerate(sets):
         if len(h):
-            sign = (h >> np.uint64(32) & np.uint64(1)).astype(np.float32) * 2 - 1
-            x[i] = np.bincount((h & np.uint64(WIDTH - 1)).astype(np.int64), sign, WIDTH)
+            for c, weight in enumerate(CELLS):  # 12 bits of the hash each: a sign and a cell
+                own = (h >> np.uint64(12 * c)).astype(np.int64)
+                x[i] += np.bincount(own & (WIDTH - 1), np.where(own & WIDTH, weight, -weight), WIDTH)
     x *= np.random.default_rng(42).choice(np.array([-1, 1], np.float32), WIDTH)
     step = 1
     while step < WIDTH:
@@ -251,19 +257,108 @@ def projected_fingerprints(sets):
     return np.packbits(x > 0, axis=1)
 
 
-def block_plan(similarity: float, n: int, recall: float = 0.98) -> tuple[int, int, int]:
-    """Bits per block, number of blocks, and the Hamming budget on the checked bits.
+def _apart(similarity: float) -> float:
+    """Share of bits that differ: a Jaccard similarity s of sets of like size is a cosine of 2s / (1 + s)."""
+    import math
+
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def distance_budget(similarity: float, width: int) -> int:
+    """Bits of ``width`` in which a pair at ``similarity`` or more differs at most, but for ``SLACK``."""
+    import math
+
+    apart = _apart(similarity)
+    return math.ceil(width * apart + SLACK * math.sqrt(width * apart * (1 - apart)))
+
+
+def block_plan(similarity: float, n: int, recall: float = 0.98) -> tuple[int, int]:
+    """Bits per block and number of blocks.
 
-    A Jaccard similarity s of sets of like size is a cosine of 2s / (1 + s). Blocks are wide enough
-    that unrelated documents seldom share one, and as many as a pair at exactly ``similarity``
-    needs to share one with probability ``recall``. The budget allows one standard deviation.
+    Blocks are wide enough that unrelated documents seldom share one, and as many as a pair at
+    exactly ``similarity`` needs to share one with probability ``recall``.
     """
     import math
 
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(16, math.ceil(math.log2(max(n, 2))) - 4)
-    blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
-    return bits, blocks, math.ceil(CHECKED * apart + math.sqrt(CHECKED * apart * (1 - apart)))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - _apart(similarity)) ** bits))
+
+
+def similarities(own, sets):
+    """Jaccard similarities of a sorted set to others, none of them empty."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    both = np.add.reduceat((own[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+    return both / (len(own) + sizes - both)
+
+
+def similar_forest(ids, words, sets, similarity: float):
+    """Like ``link_forest``, with each link decided by the sets; fingerprints only leave out far ones."""
+    import numpy as np
+
+    budget, sizes = distance_budget(similarity, WIDTH), np.array([len(x) for x in sets])
+    edges, left = [], np.arange(len(ids))
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            near = np.minimum(sizes[left], sizes[x]) / np.maximum(sizes[left], sizes[x]) >= similarity
+            near[near] = np.bitwise_count(words[left[near]] ^ words[x]).sum(1, dtype=np.int64) <= budget
+            at = np.flatnonzero(near)
+            for n in range(0, len(at), 1024):
+                part = at[n : n + 1024]
+                near[part] = similarities(sets[x], [sets[i] for i in left[part]]) >= similarity
+            reached, left = left[near], left[~near]
+            edges += [(ids[x], ids[i]) for i in reached]
+            frontier.extend(reached)
+    return edges
+
+
+def _set_linker(similarity: float):
+    """A ``mapInArrow`` function over ``component, class, fp, shingles`` sorted by component; holds one component."""
+
+    def link(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def edges(ids, fps, sets):
+            ids, first = np.unique(np.array(ids, np.int64), return_index=True)  # a row and its repeats
+            words = np.stack([np.frombuffer(fps[i], "<u8") for i in first])
+            found = np.array(similar_forest(ids, words, [np.frombuffer(sets[i], "<u8") for i in first], similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["u", "v"])
+
+        now, held = None, ([], [], [])
+        for batch in batches:
+            for component, *row in zip(*(batch.column(c).to_pylist() for c in ("component", "class", "fp", "shingles"))):
+                if component != now:
+                    if held[0]:
+                        yield edges(*held)
+                    now, held = component, ([], [], [])
+                for part, x in zip(held, row):
+                    part.append(x)
+        if held[0]:
+            yield edges(*held)
+
+    return link
+
+
+def similar_edges(docs: DataFrame, classes: DataFrame, close: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Edges of the similarity or more inside the components of ``close``; sets are made again from one text a class."""
+    wanted = classes.join(connected_components(close).withColumnRenamed("node", "class"), "class").select("component", "class", "fp", F.col("holder.doc_id").alias("__id"), F.col("holder.mix").alias("__mix"))
+    texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mix") == F.col("__mix"))).select("component", "class", "fp", "text")
+
+    def with_sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size).astype("<u8").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "class", "fp")), pa.array(sets, pa.binary())], names=["component", "class", "fp", "shingles"])
+
+    sets = texts.mapInArrow(with_sets, "component long, class long, fp binary, shingles binary")
+    return sets.repartition("component").sortWithinPartitions("component").mapInArrow(_set_linker(similarity), "u long, v long")
 
 
 def few_shingle_edges(classes: DataFrame, similarity: float) -> DataFrame:
@@ -278,7 +373,9 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
     """``doc_id, mix, keep``: of each row, its id, its text's hash and its group's least id.
 
     A class is a set of shingles, named by the wrapping sum of its hashes: texts of other shingles are
-    never merged for an equal fingerprint. Texts without words are one group. Null ids are never a
+    never merged for an equal fingerprint. Groups are connected by pairs of the similarity or more,
+    decided on their sets; a pair at exactly that is found with a probability of about 0.98, closer
+    ones with more. Texts without words are one group. Null ids are never a
     group's least id unless it has no other.
     """
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mix"), F.col(text_col).alias("text"))
@@ -304,8 +401,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mix"), *columns.values()], names=["doc_id", "mix", *columns])
 
     rows = materialise(inputs.mapInArrow(hashed, "doc_id long, mix long, class long, n int, less array<long>, fp binary"), "wide-fingerprints")
-    classes = materialise(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("less").alias("less"), F.min("fp").alias("fp")), "shingle-set-classes")
-    bits, blocks, budget = block_plan(similarity, classes.count())
+    classes = materialise(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mix")).alias("holder"), F.min("n").alias("n"), F.min("less").alias("less"), F.min("fp").alias("fp")), "shingle-set-classes")
+    bits, blocks = block_plan(similarity, classes.count())
 
     def blocked(batches):
         import numpy as np
@@ -332,8 +429,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
 
     words = ", ".join(f"w{i} long" for i in range(CHECKED // 64))
     keyed = classes.filter("fp is not null").select("class", "fp").mapInArrow(blocked, f"key long, class long, {words}")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_linker(row_of, budget), "u long, v long").distinct()
-    edges = edges.union(few_shingle_edges(classes, similarity))
+    close = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_linker(row_of, distance_budget(similarity, CHECKED)), "u long, v long").distinct()
+    edges = similar_edges(inputs, classes, close, similarity, size).union(few_shingle_edges(classes, similarity))
     linked = connected_components(edges).withColumnRenamed("node", "class")
     labelled = classes.select("class", "least").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.groupBy("component").agg(F.min("least").alias("keep"))

@@ -185,6 +185,25 @@ def test_short_texts_merge_only_with_their_like(spark):
     assert [out[n + i] for i in range(6)] == [n, n, n + 2, n, n + 4, n + 4]
 
 
+@pytest.mark.parametrize("shingles", [9, 300])
+def test_near_duplicates_by_their_true_similarity(spark, shingles):
+    """Pairs at 0.8 are found and none below is merged: each pair differs in its last words only."""
+    rng = random.Random(6)
+    n, rows, true = 0, [], {}
+    for other in range(40) if shingles == 300 else (0, 1, 2):
+        for _ in range(20 if shingles == 300 else 200):
+            words = [f"v{rng.randrange(10**6)}" for _ in range(shingles + 4)]
+            changed = other if shingles == 9 else 25 + other
+            rows += [(n, " ".join(words)), (n + 1, " ".join(words[: len(words) - changed] + [f"x{rng.randrange(10**6)}" for _ in range(changed)]))]
+            true[n + 1] = (shingles - changed) / (shingles + changed)
+            n += 2
+    out = {r.doc_id: r.keep for r in simhash.near_duplicate_groups(docs(spark, rows)).collect()}
+    assert all(out[i] == i for i, s in true.items() if s < 0.8)
+    assert all(out[i] in (i, i - 1) for i in true)
+    found = [out[i] == i - 1 for i, s in true.items() if s >= 0.8]
+    assert len(found) >= 180 and sum(found) >= 0.95 * len(found)
+
+
 def test_decontamination(spark):
     rows = sample_rows()
     items = [(1, "w1 w2 w3"), (2, rows[68][1]), (10, " ".join(rows[5][1].split()[:15])), (3, ""), (4, None), (5, "nothing here of that kind")]
