@@ -2,11 +2,11 @@
 
 A streaming parser (standard library) turns a page into lines: runs of text between block-level
 tags, each with its count of tags. Lines have a text-to-tag ratio; the ratios are smoothed with a
-Gaussian and lines at or above their standard deviation form the content clusters. The region
-kept is the article (or main) element with most clustered text or, where a page has none, the
-deepest element that holds nearly all of it. Within the region every line stays, however short,
-except what is marked up as navigation, header, footer, sidebar, notice, advert, form, script,
-style or readers' comments.
+Gaussian and lines at or above their standard deviation form the content clusters. The regions
+kept are all articles with clustered text, and main as a whole if it has some outside articles; where
+a page has neither, the smallest block that holds all of it, which is never a paragraph, a heading
+or an inline element. Within a region every line stays, however short, except what is marked up as
+navigation, header, footer, sidebar, notice, advert, form, script, style or readers' comments.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEED = 1 << 16
-SHARE = 0.8
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +28,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CONTAINERS = frozenset(("article", "main"))
+#: What a whole text may be in, where a page has none of these.
+BLOCKS = frozenset("html body div section center".split())
 #: Elements that an open paragraph outside isn't closed from.
 P_BOUNDS = CONTAINERS | {"table", "div", "section", "blockquote", "li", "td"}
 #: An open element that a start tag closes, with the elements that bound the search.
@@ -220,25 +221,27 @@ def main_text(html: str | None) -> str:
     threshold = min((sum((v - mean) ** 2 for v in smooth) / len(smooth)) ** 0.5, max(smooth))
     content = [v >= threshold and link <= len(text) / 2 for v, (text, _, link, _) in zip(smooth, lines)]
     count = len(parser.tag_of)
-    weight, held, last = [0] * count, [0] * count, list(range(count))
+    # clustered text, that outside articles, lines, and the last element inside
+    weight, free, held, last = [0] * count, [0] * count, [0] * count, list(range(count))
     for chosen, (text, _, _, at) in zip(content, lines):
         weight[at] += len(text) if chosen else 0
+        free[at] = weight[at]
         held[at] += 1
     for n in range(count - 1, 0, -1):  # children before parents
         up = parser.parent[n]
         weight[up] += weight[n]
+        free[up] += free[n] if parser.tag_of[n] != "article" else 0
         held[up] += held[n]
         last[up] = max(last[up], last[n])
-    depth = [0] * count
-    for n in range(1, count):
-        depth[n] = depth[parser.parent[n]] + 1
     explicit = [n for n in range(1, count) if held[n] and parser.tag_of[n] in CONTAINERS]
-    articles = [n for n in explicit if parser.tag_of[n] == "article"] or explicit
-    if articles:
-        region = max(articles, key=lambda n: (weight[n], -n))
-        return "\n".join(text for text, _, _, at in lines if region <= at <= last[region])
-    enough = [n for n in range(1, count) if weight[n] and weight[n] >= SHARE * weight[0]]
-    region = max(enough, key=lambda n: (depth[n], -n), default=0)
+    if explicit:
+        kept, end = bytearray(count), 0
+        for n in [n for n in explicit if (weight if parser.tag_of[n] == "article" else free)[n]] or explicit:
+            if n > end:
+                end = last[n]
+                kept[n : end + 1] = b"\1" * (end + 1 - n)
+        return "\n".join(text for text, _, _, at in lines if kept[at])
+    region = max((n for n in range(1, count) if weight[n] == weight[0] and parser.tag_of[n] in BLOCKS), default=0)
     return "\n".join(text for chosen, (text, _, link, at) in zip(content, lines) if region <= at <= last[region] and (chosen or link <= 0.8 * len(text)))
 
 

@@ -363,6 +363,17 @@ def test_main_text():
     assert html_text.main_text("<article><p>" + "x" * 300_000) == "x" * 300_000
 
 
+def test_main_text_is_whole():
+    big, part = "word " * 180, "more " * 20
+    a, b = big.strip(), part.strip()
+    assert html_text.main_text(f"<div><h1>T</h1><p>{big}</p><p>{part}</p></div>") == f"T\n{a}\n{b}"
+    assert html_text.main_text(f"<body><nav>n</nav><div><section><h2>A</h2><p>{big}</p></section><section><h2>B</h2><p>{part}</p></section></div></body>") == f"A\n{a}\nB\n{b}"
+    assert html_text.main_text(f"<div><h1>T</h1><p><b>{big}</b></p><p>End.</p></div>") == f"T\n{a}\nEnd."
+    # an article in two elements, and one beside a teaser
+    assert html_text.main_text(f"<article><h1>T</h1><p>{big}</p></article><article><p>{big}</p><p>{part}</p></article>") == f"T\n{a}\n{a}\n{b}"
+    assert html_text.main_text(f"<main><h1>T</h1><p>{big}</p><p>{big}</p><article><p>Teaser</p></article></main>").startswith(f"T\n{a}\n{a}")
+
+
 def test_articles_of_the_pages_are_found_whole(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html as h
