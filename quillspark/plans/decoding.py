@@ -122,13 +122,13 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", dc.segmentation_prior(kind, F.col("l_quantity"), F.lit(40.0)).alias("prior"))
 
 
-def edges(t):
-    """A chain of two candidates per character of each benchmark word, and one merged edge."""
-    chars = lexicon(t).filter("length(word) between 2 and 8").select("word", F.posexplode(F.split("word", "")).alias("src", "ch"))
+def edges(words):
+    """A chain of two candidates per character of each word, and one merged edge where it has two."""
+    chars = words.select("word", F.posexplode(F.split("word", "")).alias("src", "ch"))
     other = F.translate("ch", "aeioust", "eaouits")
     one = chars.select("word", "src", (F.col("src") + 1).alias("dst"), "ch", F.lit(1.0).alias("d"), F.lit(0.0).alias("prior"))
     two = chars.select("word", "src", (F.col("src") + 1).alias("dst"), other.alias("ch"), F.lit(0.9).alias("d"), F.lit(0.0).alias("prior"))
-    merged = chars.filter("src = 0").select("word", "src", F.lit(2).alias("dst"), F.lit("m").alias("ch"), F.lit(2.5).alias("d"), F.lit(-0.7).alias("prior"))
+    merged = chars.filter("src = 0 and length(word) > 1").select("word", "src", F.lit(2).alias("dst"), F.lit("m").alias("ch"), F.lit(2.5).alias("d"), F.lit(-0.7).alias("prior"))
     return one.unionByName(two).unionByName(merged)
 
 
@@ -139,7 +139,7 @@ def _(t):
     # the model's tables: bounded by the alphabet and by the lexicon of the benchmark
     bigrams = {(r.prev, r.next): r.logp for r in logp.collect()}
     words = {r.word: 1 for r in lexicon(t).select("word").collect()}
-    return dc.decode_words(edges(t), dc.Decoder(bigrams, words))
+    return dc.decode_words(edges(lexicon(t)), dc.Decoder(bigrams, words))
 
 
 @SUITE.query(
@@ -149,7 +149,7 @@ def _(t):
         SELECT word, src, dst, ch FROM (SELECT *, row_number() OVER (PARTITION BY word, src ORDER BY d, ch, dst) AS r FROM e) WHERE r = 1""",
 )
 def _(t):
-    return dc.probe_reading(edges(t))
+    return dc.probe_reading(edges(lexicon(t).filter("length(word) between 2 and 8")))
 
 
 _PARAMS = "p AS (SELECT p_name || p_partkey AS name, CAST(p_size AS DOUBLE) AS value FROM part)"

@@ -103,8 +103,8 @@ def _(t):
 
 @SUITE.query("r24_seeded_shuffle")
 def _(t):
-    """A seeded permutation: the rank of a seeded hash, cut at a page of 100."""
-    return t.documents.select("doc_id", F.xxhash64(F.lit(42), "doc_id").alias("h")).orderBy("h", "doc_id").limit(100)
+    """A seeded permutation of all documents: the order of a seeded hash."""
+    return t.documents.select("doc_id", F.xxhash64(F.lit(42), "doc_id").alias("h")).orderBy("h", "doc_id")
 
 
 @SUITE.query(

@@ -1,6 +1,7 @@
 """Operators that SQL doesn't express, against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from quillspark.functions import hashing
 from quillspark.graph import connected_components
 from quillspark.operators import bpe, decoding, features, layout, reports, scoring
 from quillspark.operators.engine import Engine
+from quillspark.plans import registry
 from quillspark.sources import readers
 
 
@@ -181,3 +183,15 @@ def test_byte_pairs_equal_the_library(spark):
 def test_automaton_size(spark):
     words = spark.createDataFrame([(w,) for w in ("tap", "taps", "top", "tops", None, "top")], "word string")
     assert tuple(decoding.automaton_size(words).first()) == (5, 5)
+
+
+def test_decoding_and_shuffle_leave_nothing_out(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = [r.text.lower() for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("text").collect() if r.text]
+    words = {w for t in texts for w in re.findall("[a-z]+", t)}
+    assert max(map(len, words)) > 8
+    decoded = registry.queries()["d01_d03_decode"](spark, folder).collect()
+    assert sorted(r.word for r in decoded) == sorted(words) and all(r.text for r in decoded)
+    ids = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    shuffled = [(r.h, r.doc_id) for r in registry.queries()["r24_seeded_shuffle"](spark, folder).collect()]
+    assert sorted(i for _, i in shuffled) == sorted(ids) and shuffled == sorted(shuffled)
