@@ -10,7 +10,8 @@ is paired with the first holders of its runs: a run held by a third of all docum
 pair for each of them, not one for every two. A pair is aligned by patience diff: runs that stand once in
 both documents are anchors, their longest increasing run is kept, and overlapping anchors join into
 blocks, which are deleted from the later document. Shared runs that the alignment leaves over stand in
-another order or repeatedly; ``moved`` deletes these blocks too.
+another order or repeatedly; ``moved`` deletes these blocks too. So with ``moved``, the default, the
+union of all shared runs is deleted and the alignment changes no row; without it, reordered blocks stay.
 """
 
 from __future__ import annotations
