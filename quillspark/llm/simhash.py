@@ -13,8 +13,9 @@ A key's bucket isn't expanded into pairs. Inside it, fingerprints are visited br
 each is compared, as vectors of words, with those not reached yet, and only the edges of the
 resulting trees leave the task. So a bucket of m close fingerprints costs about m comparisons
 and m rows, and every link still counts towards connectivity. Buckets are streamed from
-sorted partitions; a bucket of more than ``BUCKET`` fingerprints is first split exactly: see
-``_split_hot``.
+sorted partitions. Of 64-bit fingerprints, a bucket of more than ``BUCKET`` is first split exactly: see
+``_split_hot``. Wide fingerprints have no such split: a task holds a whole bucket, and later all sets
+of a connected group, whatever their size.
 """
 
 from __future__ import annotations
