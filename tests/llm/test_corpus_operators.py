@@ -276,12 +276,99 @@ def test_line_dedup_equals_a_plain_comparison(spark):
     assert got == sorted((i, plain(i, lines)) for i, lines in split) and any(n for _, n in got)
 
 
-def test_patience_keeps_runs_in_order():
-    shared = [(0, 2, 10, True), (2, 2, 0, True), (4, 3, 12, True), (8, 2, 13, True), (4, 2, 12, True), (20, 2, 30, False)]
-    assert line_dedup.aligned_runs(shared) in ([(0, 2), (4, 3), (8, 2)], [(2, 2), (4, 3), (8, 2)])
-    matches = [dict(zip(("pos", "lines", "holder_pos", "single"), s), holder=1, holder_single=True) for s in shared]
-    assert len(line_dedup.duplicate_lines(matches, moved=False)) == 7
-    assert line_dedup.duplicate_lines(matches, moved=True) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 20, 21]
+def test_line_dedup_equals_a_plain_aligner(spark):
+    """Each later document is aligned with every earlier one, by a patience diff of the test's own."""
+    rng = random.Random(18)
+    blocks = [[" ".join(f"b{k}_{j}_{i}" for i in range(rng.randint(2, 9))) for j in range(rng.randint(1, 4))] for k in range(8)]
+    rows = []
+    for d in range(50):
+        parts = [rng.choice(blocks) if rng.random() < 0.6 else [f"own {d} {n}"] for n in range(rng.randint(1, 8))]
+        rows.append((d, "\n".join(line for part in parts for line in part)))
+    split = [(i, t.split("\n")) for i, t in rows]
+
+    def align(pairs):
+        if not pairs:
+            return []
+        single = [(i, j) for i, j in pairs if sum(p[0] == i for p in pairs) == 1 == sum(p[1] == j for p in pairs)]
+        steps, best = sorted(single or pairs, key=lambda p: (p[0], -p[1])), {}
+        for i, j in steps:
+            best[i, j] = max((best[p] for p in best if p[0] < i and p[1] < j), key=len, default=[]) + [(i, j)]
+        chain = max(best.values(), key=len)
+        if not single:
+            return chain
+        out, low = [], (-1, -1)
+        for high in chain + [(10**9, 10**9)]:
+            out += align([p for p in pairs if low[0] < p[0] < high[0] and low[1] < p[1] < high[1]])
+            out += [high] if high[0] < 10**9 else []
+            low = high
+        return out
+
+    def runs(pairs, lines):
+        pairs, found = set(pairs), []
+        for i, j in pairs:
+            if (i - 1, j - 1) not in pairs:
+                n = 1
+                while (i + n, j + n) in pairs:
+                    n += 1
+                if sum(len(s.split()) for s in lines[i : i + n]) >= 12:
+                    found.append([(i + k, j + k) for k in range(n)])
+        return found
+
+    def plain(doc, lines):
+        gone = set()
+        for _, theirs in (x for x in split if x[0] < doc):
+            every = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(theirs) if a == b}
+            left = runs(every, lines)
+            while left:  # align, delete the aligned blocks, and go on with the blocks that aren't aligned whole
+                aligned = set(align(sorted({p for r in left for p in r})))
+                gone |= {i for r in runs(aligned, lines) for i, _ in r}
+                rest = [r for r in left if not aligned.issuperset(r)]
+                if len(rest) == len(left):
+                    gone |= {i for i, _ in rest.pop()}
+                left = rest
+        return len(gone)
+
+    got = sorted((r.doc_id, r.lines_deleted) for r in line_dedup.dedup_lines(docs(spark, rows), min_words=12).collect())
+    assert got == sorted((i, plain(i, lines)) for i, lines in split) and sum(n > 0 for _, n in got) > 20
+
+
+def test_patience_diff_aligns():
+    rng = random.Random(3)
+    for _ in range(300):
+        matches = {(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randint(0, 14))}
+        out = line_dedup.patience_diff(set(matches))
+        assert set(out) <= matches and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(out, out[1:])) and bool(out) == bool(matches)
+    # anchors first, then what lies between them, grown along equal lines
+    assert line_dedup.patience_diff({(0, 0), (1, 1), (1, 3), (2, 2), (3, 3), (3, 1)}) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    runs = [(0, 9, 3), (3, 0, 2), (5, 12, 3), (8, 15, 2)]
+    assert line_dedup.aligned_runs(runs, moved=False) == [(0, 9, 3), (5, 12, 3), (8, 15, 2)]
+    assert line_dedup.aligned_runs(runs, moved=True) == runs
+    assert line_dedup.covered([(4, 3), (0, 2), (2, 1), (5, 1)]) == [(0, 3), (4, 7)]
+
+
+def test_one_alignment_keeps_moved_lines(spark):
+    rng = random.Random(4)
+    lines = [" ".join(f"l{k}_{i}" for i in range(12)) for k in range(12)]
+    rows, most = [(0, "\n".join(lines))], {0: 0}
+    for d in range(1, 15):
+        order = rng.sample(range(12), 12)
+        best = [1] * 12
+        for k in range(12):
+            best[k] = 1 + max((best[q] for q in range(k) if order[q] < order[k]), default=0)
+        rows.append((d, "\n".join(lines[k] for k in order)))
+        most[d] = max(best)
+    once = line_dedup.dedup_lines(docs(spark, rows), min_words=12, moved=False).collect()
+    assert {r.doc_id: r.lines_deleted for r in once} == most
+    assert all(r.lines_deleted == 12 * (r.doc_id > 0) for r in line_dedup.dedup_lines(docs(spark, rows), min_words=12).collect())
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    names = ["__id", "__deleted", "__key", "key", "row", "ranges", "n_deleted", "mix", "lines_total"]
+    frame = spark.createDataFrame([(i, passage, *[f"{c}{i}" for c in names]) for i in (1, 2)], ["doc_id", "text", *names])
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert out[1].text == passage and out[2].text == "" and out[2].lines_total == 1
+    assert all(out[2][c] == f"{c}2" for c in names[:-1])
 
 
 def test_longest_increasing():
