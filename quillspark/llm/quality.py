@@ -26,10 +26,35 @@ FEATURES = (
     "distinct_words", "top_word", "short_words", "long_words", "all_upper_words", "repeated_lines", "repeated_triples", "entropy", "compressed", "longest_run", "line_stops",
 )
 _RUN = re.compile(rb"([^\s])\1{3,}")
+_LINE = re.compile("\n")
+
+
+#: Characters of a text whose words or lines are held at once.
+SLICE = 1 << 20
+_SPACE = re.compile(r"\s")
+
+
+def _slices(text: str, pattern: re.Pattern):
+    """Parts of a text of about ``SLICE`` characters, cut where the pattern stands."""
+    at = 0
+    while at < len(text):
+        end = pattern.search(text, at + SLICE) if at + SLICE < len(text) else None
+        end = end.end() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _hashes(words):
+    import numpy as np
+
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
 
 def measure(text: str | None) -> list[float]:
-    """The features of a whole text; an empty or null one has zeros."""
+    """The features of a whole text; an empty or null one has zeros.
+
+    Words and lines of one slice are held at a time; of the whole text, a 64-bit hash for each.
+    """
     import math
     import zlib
 
@@ -39,24 +64,37 @@ def measure(text: str | None) -> list[float]:
         return [0.0] * len(FEATURES)
     raw = text.encode()
     n = len(raw)
-    byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    every = np.frombuffer(raw, np.uint8)
+    byte = sum(np.bincount(every[at : at + SLICE], minlength=256) for at in range(0, n, SLICE))
     letters = int(byte[65:91].sum() + byte[97:123].sum() + byte[128:].sum())
     marks = int(byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum())
     plain = int(byte[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum())
     share = byte[byte > 0] / n
-    words = text.split()
-    m = len(words)
-    counts = Counter(words)
-    lines = [s for s in text.split("\n") if s]
-    triples = set(zip(words, words[1:], words[2:])) if m > 2 else ()
-    shorts = sum(c for w, c in counts.items() if len(w) <= 3)
-    longs = sum(c for w, c in counts.items() if len(w) >= 13)
-    loud = sum(c for w, c in counts.items() if w.isupper() and len(w) > 1)
+    hashed, shorts, longs, loud = [], 0, 0, 0
+    for part in _slices(text, _SPACE):
+        words = part.split()
+        hashed.append(_hashes(words))
+        for w, c in Counter(words).items():
+            shorts += c * (len(w) <= 3)
+            longs += c * (len(w) >= 13)
+            loud += c * (w.isupper() and len(w) > 1)
+    lined, stops = [], 0
+    for part in _slices(text, _LINE):
+        lines = [s for s in part.split("\n") if s]
+        lined.append(_hashes(lines))
+        stops += sum(s[-1] in ".!?" for s in lines)
+    word = np.concatenate(hashed)
+    line = np.concatenate(lined)
+    m = len(word)
+    counts = np.unique(word, return_counts=True)[1]
+    # a triple of words by a mix of their hashes that tells their order
+    odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    triples = len(np.unique(word[:-2] * odd[0] + word[1:-1] * odd[1] + word[2:] * odd[2])) if m > 2 else 0
     return [
         math.log1p(m),
-        math.log1p(len(lines)),
+        math.log1p(len(line)),
         n / m,
-        m / len(lines),
+        m / len(line),
         byte[65:91].sum() / max(letters, 1),
         byte[48:58].sum() / n,
         (marks - plain) / n,
@@ -65,16 +103,16 @@ def measure(text: str | None) -> list[float]:
         byte[128:].sum() / n,
         (byte[32] + byte[9] + byte[10]) / n,
         len(counts) / m,
-        max(counts.values()) / m,
+        counts.max() / m,
         shorts / m,
         longs / m,
         loud / m,
-        1 - len(set(lines)) / len(lines),
-        1 - len(triples) / max(m - 2, 1) if m > 2 else 0.0,
+        1 - len(np.unique(line)) / len(line),
+        1 - triples / (m - 2) if m > 2 else 0.0,
         float(-(share * np.log2(share)).sum()),
         len(zlib.compress(raw, 1)) / n,
         math.log1p(max((len(x.group()) for x in _RUN.finditer(raw)), default=0)),
-        sum(s[-1] in ".!?" for s in lines) / len(lines),
+        stops / len(line),
     ]
 
 

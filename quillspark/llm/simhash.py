@@ -14,12 +14,13 @@ each is compared, as vectors of words, with those not reached yet, and only the
 resulting trees leave the task. So a bucket of m close fingerprints costs about m comparisons
 and m rows, and every link still counts towards connectivity. Buckets are streamed from
 sorted partitions. Of 64-bit fingerprints, a bucket of more than ``BUCKET`` is first split exactly: see
-``_split_hot``. Wide fingerprints have no such split: a task holds a whole bucket, and later all sets
-of a connected group, whatever their size.
+``_split_hot``. A larger bucket of wide fingerprints becomes one group of candidates without being compared, and
+large groups are searched in chunks: see ``similar_edges``.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -31,29 +32,46 @@ from quillspark.storage import materialise
 BUCKET = 50_000
 
 
-def shingle_hashes(text: str | None, size: int) -> list[int]:
-    """XXH64 (seed 42) of each run of ``size`` words, repeats included; fewer words make one."""
-    import xxhash
-
-    w = text.encode().translate(_LOWER).split() if text else []
-    if not w:
-        return []
-    joined = (b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
-    return [xxhash.xxh64_intdigest(s, 42) for s in joined]
+#: Bytes of a text whose words are held at once.
+SLICE = 1 << 20
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+def shingle_slices(text: str | None, size: int):
+    """XXH64 (seed 42) of each run of ``size`` words, repeats included, as uint64 arrays; fewer words make one run.
 
+    The words of one slice of the text are held at a time; a slice ends where a word does.
+    """
+    import numpy as np
+    import xxhash
 
-def majority_fingerprint(hashes: list[int]) -> int:
+    raw = text.encode() if text else b""
+    kept: list[bytes] = []
+    at, total = 0, 0
+    while at < len(raw):
+        end = _SPACE.search(raw, at + SLICE) if at + SLICE < len(raw) else None
+        end = end.start() if end else len(raw)
+        w = kept + raw[at:end].translate(_LOWER).split()
+        at, total = end, total + len(w) - len(kept)
+        if len(w) >= size:
+            yield np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + size]), 42) for i in range(len(w) - size + 1)), np.uint64)
+        kept = w[-(size - 1) :] if size > 1 else []
+    if 0 < total < size:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(kept), 42)], np.uint64)
+
+
+def majority_fingerprint(slices) -> int:
     """Bit i is set if it is set in over half of the hashes; no hashes give zero."""
     import numpy as np
 
-    if not hashes:
-        return 0
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_bits = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in slices:
+        for at in range(0, len(hashes), 1 << 14):
+            part = np.ascontiguousarray(hashes[at : at + (1 << 14)], "<u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +82,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         for batch in batches:
-            fps = [majority_fingerprint(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
+            fps = [majority_fingerprint(shingle_slices(t.as_py(), size)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())], names=["doc_id", "fp"])
 
     return materialise(inputs.mapInArrow(hashed, "doc_id long, fp long"), "fingerprints")
@@ -231,7 +249,8 @@ def shingle_set(text: str | None, size: int):
     """The distinct shingle hashes of a text, sorted, as a uint64 array."""
     import numpy as np
 
-    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+    parts = [np.unique(h) for h in shingle_slices(text, size)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
 
 
 def projected_fingerprints(sets):
@@ -245,9 +264,9 @@ def projected_fingerprints(sets):
 
     x = np.zeros((len(sets), WIDTH), np.float32)
     for i, h in enumerate(sets):
-        if len(h):
+        for at in range(0, len(h), 1 << 18):
             for c, weight in enumerate(CELLS):  # 12 bits of the hash each: a sign and a cell
-                own = (h >> np.uint64(12 * c)).astype(np.int64)
+                own = (h[at : at + (1 << 18)] >> np.uint64(12 * c)).astype(np.int64)
                 x[i] += np.bincount(own & (WIDTH - 1), np.where(own & WIDTH, weight, -weight), WIDTH)
     x *= np.random.default_rng(42).choice(np.array([-1, 1], np.float32), WIDTH)
     step = 1
@@ -318,48 +337,147 @@ def similar_forest(ids, words, sets, similarity: float):
     return edges
 
 
-def _set_linker(similarity: float):
-    """A ``mapInArrow`` function over ``component, class, fp, shingles`` sorted by component; holds one component."""
+def _sorted_groups(batches, columns: list[str]):
+    """``(key, rows)`` of consecutive equal values of ``task``; rows are lists of values by column."""
+    now, held = None, [[] for _ in columns]
+    for batch in batches:
+        for task, *row in zip(*(batch.column(c).to_pylist() for c in ("task", *columns))):
+            if task != now:
+                if held[0]:
+                    yield held
+                now, held = task, [[] for _ in columns]
+            for part, x in zip(held, row):
+                part.append(x)
+    if held[0]:
+        yield held
+
+
+def _edge_batch(found):
+    import numpy as np
+    import pyarrow as pa
+
+    found = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["u", "v"])
+
+
+def _forest_of_task(similarity: float):
+    """A ``mapInArrow`` function over ``task, class, fp, shingles`` sorted by task; holds one task's sets."""
 
     def link(batches):
         import numpy as np
-        import pyarrow as pa
 
-        def edges(ids, fps, sets):
+        for ids, fps, sets in _sorted_groups(batches, ["class", "fp", "shingles"]):
             ids, first = np.unique(np.array(ids, np.int64), return_index=True)  # a row and its repeats
             words = np.stack([np.frombuffer(fps[i], "<u8") for i in first])
-            found = np.array(similar_forest(ids, words, [np.frombuffer(sets[i], "<u8") for i in first], similarity), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["u", "v"])
+            yield _edge_batch(similar_forest(ids, words, [np.frombuffer(sets[i], "<u8") for i in first], similarity))
 
-        now, held = None, ([], [], [])
-        for batch in batches:
-            for component, *row in zip(*(batch.column(c).to_pylist() for c in ("component", "class", "fp", "shingles"))):
-                if component != now:
-                    if held[0]:
-                        yield edges(*held)
-                    now, held = component, ([], [], [])
-                for part, x in zip(held, row):
-                    part.append(x)
-        if held[0]:
-            yield edges(*held)
+    return link
+
+
+def _outsiders_of_task(similarity: float):
+    """A ``mapInArrow`` function over ``task, asks, class, fp, shingles, label`` sorted by task.
+
+    Each row that ``asks`` is compared with those of other labels; one edge to each label is enough.
+    """
+    budget = distance_budget(similarity, WIDTH)
+
+    def link(batches):
+        import numpy as np
+
+        for asks, ids, fps, sets, labels in _sorted_groups(batches, ["asks", "class", "fp", "shingles", "label"]):
+            asks, ids, labels = np.array(asks, bool), np.array(ids, np.int64), np.array(labels, np.int64)
+            words = np.stack([np.frombuffer(f, "<u8") for f in fps])
+            sets = [np.frombuffer(s, "<u8") for s in sets]
+            sizes, found = np.array([len(s) for s in sets]), []
+            members = np.flatnonzero(~asks)
+            for x in np.flatnonzero(asks):
+                near = members[(labels[members] != labels[x]) & (np.minimum(sizes[members], sizes[x]) / np.maximum(sizes[members], sizes[x]) >= similarity)]
+                near = near[np.bitwise_count(words[near] ^ words[x]).sum(1, dtype=np.int64) <= budget]
+                for at in range(0, len(near), 1024):
+                    part = near[at : at + 1024]
+                    linked = part[similarities(sets[x], [sets[i] for i in part]) >= similarity]
+                    linked = linked[np.unique(labels[linked], return_index=True)[1]]
+                    found += [(ids[x], ids[i]) for i in linked]
+            yield _edge_batch(found)
 
     return link
 
 
-def similar_edges(docs: DataFrame, classes: DataFrame, close: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Edges of the similarity or more inside the components of ``close``; sets are made again from one text a class."""
-    wanted = classes.join(connected_components(close).withColumnRenamed("node", "class"), "class").select("component", "class", "fp", F.col("holder.doc_id").alias("__id"), F.col("holder.mix").alias("__mix"))
+#: Bytes of shingle sets that a task of the exact search takes, and members of a group that all its tasks see.
+GROUP_BYTES = 16 << 20
+PIVOTS = 32
+#: Rows of a block's bucket that one task compares.
+WIDE_BUCKET = 8192
+#: Rows of a table of hot keys up to which it is broadcast.
+HOT_ROWS = 100_000
+
+
+def _bounded_broadcast(small: DataFrame) -> DataFrame:
+    """``small``, to be broadcast if it has no more than ``HOT_ROWS`` rows, else to be merged."""
+    return F.broadcast(small) if small.limit(HOT_ROWS + 1).count() <= HOT_ROWS else small.hint("merge")
+
+
+def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """``component, class, fp, shingles`` of ``members``; sets are made again from one text a class."""
+    wanted = members.select("component", "class", "fp", F.col("holder.doc_id").alias("__id"), F.col("holder.mix").alias("__mix"))
     texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mix") == F.col("__mix"))).select("component", "class", "fp", "text")
 
-    def with_sets(batches):
+    def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size).astype("<u8").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "class", "fp")), pa.array(sets, pa.binary())], names=["component", "class", "fp", "shingles"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                made = [shingle_set(t.as_py(), size).astype("<u8").tobytes() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("component", "class", "fp")), pa.array(made, pa.binary())], names=["component", "class", "fp", "shingles"])
 
-    sets = texts.mapInArrow(with_sets, "component long, class long, fp binary, shingles binary")
-    return sets.repartition("component").sortWithinPartitions("component").mapInArrow(_set_linker(similarity), "u long, v long")
+    return texts.mapInArrow(sets, "component long, class long, fp binary, shingles binary")
+
+
+def _in_tasks(rows: DataFrame, function) -> DataFrame:
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(function, "u long, v long")
+
+
+def similar_edges(docs: DataFrame, classes: DataFrame, close: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Edges that connect what links of the similarity or more connect inside the components of ``close``.
+
+    A group of more than ``GROUP_BYTES`` of sets is dealt to several tasks by hash. A few of its members, the
+    pivots, are in each of them, so near copies of one text become one component. Then its *outsiders*, the members
+    outside the group's largest component, are compared with all members, in tiles: of two
+    members that aren't connected yet, one is an outsider, so no link between components is missed. The work
+    is outsiders x members; no task holds more than two chunks.
+    """
+    members = materialise(classes.join(connected_components(close).withColumnRenamed("node", "class"), "class"), "candidates")
+    large = materialise(
+        members.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.col("n").cast("long")).alias("shingles")).filter(F.col("shingles") * 8 > GROUP_BYTES).withColumn("chunks", F.ceil(F.col("shingles") * 8 / GROUP_BYTES).cast("int")), "large-groups"
+    )
+    if large.limit(1).count() == 0:
+        return _in_tasks(_with_sets(docs, members, size).withColumnRenamed("component", "task"), _forest_of_task(similarity))
+    by_group = _bounded_broadcast(large)
+    small = members.join(by_group.select("component"), "component", "left_anti")
+    edges = _in_tasks(_with_sets(docs, small, size).withColumnRenamed("component", "task"), _forest_of_task(similarity))
+    sets = materialise(_with_sets(docs, members.join(by_group.select("component"), "component", "left_semi"), size).distinct(), "large-group-sets")
+    chosen = (F.pmod(F.xxhash64("class", F.lit(1)), F.col("members")) < PIVOTS) & (F.length("shingles") <= 4 * 8 * F.col("shingles_of_group") / F.col("members"))
+    dealt = sets.join(by_group.withColumnRenamed("shingles", "shingles_of_group"), "component").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    places = F.when(chosen, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    inside = materialise(
+        _in_tasks(dealt.withColumn("place", F.explode(places)).select(F.xxhash64("component", "place").alias("task"), "class", "fp", "shingles"), _forest_of_task(similarity)).distinct(), "edges-in-chunks"
+    )
+    labels = sets.select("component", "class").join(connected_components(inside).toDF("class", "label"), "class", "left").select("component", "class", F.coalesce("label", "class").alias("label"))
+    labels = materialise(labels, "labels-in-groups")
+    largest = labels.groupBy("component", "label").count().groupBy("component").agg(F.max(F.struct("count", "label")).alias("x")).select("component", F.col("x.label").alias("largest"))
+    outside = labels.join(_bounded_broadcast(materialise(largest, "largest-labels")), "component").filter("label <> largest").select("class", "label")
+    labelled = dealt.join(labels.select("class", "label").hint("merge"), "class")
+    asking = labelled.join(outside.select("class").hint("merge"), "class", "left_semi")
+    rounds = asking.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / GROUP_BYTES).cast("int").alias("askers"))
+    rounds = _bounded_broadcast(materialise(rounds, "outsiders"))
+    task = F.xxhash64("component", "chunk", "asker").alias("task")
+    columns = ["class", "fp", "shingles", "label"]
+    # outsiders go to every chunk of members, members to every chunk of outsiders
+    asks = asking.join(rounds, "component").withColumn("asker", F.pmod(F.xxhash64("class", F.lit(2)), F.col("askers")).cast("int")).drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    answers = labelled.join(rounds, "component").withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)))
+    tiles = asks.select(task, F.lit(True).alias("asks"), *columns).union(answers.select(task, F.lit(False).alias("asks"), *columns))
+    return edges.union(inside).union(_in_tasks(tiles, _outsiders_of_task(similarity)))
 
 
 def few_shingle_edges(classes: DataFrame, similarity: float) -> DataFrame:
@@ -430,7 +548,15 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, size: int =
 
     words = ", ".join(f"w{i} long" for i in range(CHECKED // 64))
     keyed = classes.filter("fp is not null").select("class", "fp").mapInArrow(blocked, f"key long, class long, {words}")
-    close = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_linker(row_of, distance_budget(similarity, CHECKED)), "u long, v long").distinct()
+    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("class").alias("u")).filter(F.col("rows") > WIDE_BUCKET).select("key", "u"), "hot-buckets")
+    shared = keyed
+    if hot.limit(1).count():
+        listed = _bounded_broadcast(hot)
+        shared = keyed.join(listed.select("key"), "key", "left_anti")
+        # too many to compare in a task: all of them are candidates of one group, which is searched in chunks
+        starred = keyed.join(listed, "key").filter("class <> u").select("u", F.col("class").alias("v"))
+    close = shared.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_linker(row_of, distance_budget(similarity, CHECKED)), "u long, v long").distinct()
+    close = close.union(starred.distinct()) if shared is not keyed else close
     edges = similar_edges(inputs, classes, close, similarity, size).union(few_shingle_edges(classes, similarity))
     linked = connected_components(edges).withColumnRenamed("node", "class")
     labelled = classes.select("class", "least").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -442,5 +568,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     """``docs`` with only the least id of each group; rows that repeat the kept id and text stay."""
     groups = near_duplicate_groups(docs, similarity, size, id_col, text_col)
     dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__id"), F.col("mix").alias("__mix")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    return keyed.join(dropped.hint("merge"), keyed[id_col].eqNullSafe(dropped["__id"]) & (keyed["__key"] == dropped["__mix"]), "left_anti").drop("__key")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"))
+    kept = keyed.join(dropped.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__mix")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -124,13 +124,36 @@ def test_sharding_is_minimax(spark):
     assert sharding.shard_documents(docs(spark, []), 5).count() == 0
 
 
+def plain_fingerprint(text):
+    """A fingerprint bit by bit, from the contract's own words."""
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_long_texts_are_taken_in_slices(monkeypatch):
+    rng = random.Random(2)
+    text = "\n ".join(" ".join(f"W{rng.randrange(500)}é" for _ in range(rng.randint(1, 9))) for _ in range(300)) + " " + "x" * 400
+    whole = np.concatenate(list(simhash.shingle_slices(text, 3)))
+    measured = quality.measure(text)
+    monkeypatch.setattr(simhash, "SLICE", 100)
+    monkeypatch.setattr(quality, "SLICE", 100)
+    parts = list(simhash.shingle_slices(text, 3))
+    assert len(parts) > 50 and (np.concatenate(parts) == whole).all()
+    assert simhash.majority_fingerprint(parts) == plain_fingerprint(text)
+    assert quality.measure(text) == pytest.approx(measured)
+
+
 def test_simhash_components(spark):
     rng = random.Random(2)
     base = " ".join(f"t{i}" for i in range(300))
     rows = sample_rows() + [(100 + k, base.replace(f"t{rng.randrange(300)} ", "zz ", 1)) for k in range(20)]
     out = simhash.simhash_components(docs(spark, rows), k=2)
     got = sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in out.collect()), key=repr)
-    fps = [(i, simhash.majority_fingerprint(simhash.shingle_hashes(t, 3))) for i, t in rows]
+    fps = [(i, plain_fingerprint(t)) for i, t in rows]
     label = list(range(len(fps)))
     for a in range(len(fps)):
         for b in range(a):
@@ -172,6 +195,29 @@ def test_near_duplicates_at_a_similarity(spark):
     assert all(out[i] == i for i, _ in rows if i not in planted)
 
 
+def test_large_groups_are_searched_in_chunks(spark, monkeypatch):
+    """A large group of near copies in many small tasks gives what one task gives; chains hang on by their ends."""
+    rng = random.Random(14)
+    base = [f"b{i}" for i in range(120)]
+    texts = [base]
+    for _ in range(150):
+        at = rng.randrange(118)
+        texts.append(base[:at] + [f"c{rng.randrange(10**6)}"] + base[at + 1 :])
+    chain, outsiders = base, 12
+    for _ in range(outsiders):  # each is like the one before, and soon unlike the base
+        at = rng.randrange(118)
+        chain = chain[:at] + [f"d{rng.randrange(10**6)}"] + chain[at + 1 :]
+        texts.append(chain)
+    texts += [[f"e{k}_{i}" for i in range(100)] for k in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    plain = sorted(map(tuple, simhash.near_duplicate_groups(docs(spark, rows)).collect()))
+    monkeypatch.setattr(simhash, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(simhash, "WIDE_BUCKET", 30)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    assert sorted(map(tuple, simhash.near_duplicate_groups(docs(spark, rows)).collect())) == plain
+    assert sum(keep == 0 for _, _, keep in plain) == 151 + outsiders
+
+
 def test_short_texts_merge_only_with_their_like(spark):
     rng = random.Random(5)
     texts = {" ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(1, 6))) for _ in range(4000)}
