@@ -2,10 +2,10 @@
 
 A streaming parser (standard library) turns a page into lines: runs of text between block-level
 tags, each with its count of tags. Lines have a text-to-tag ratio; the ratios are smoothed with a
-Gaussian and lines at or above their standard deviation form the content clusters. The regions
-kept are all articles with clustered text, and main as a whole if it has some outside articles; where
-a page has neither, the smallest block that holds all of it, which is never a paragraph, a heading
-or an inline element. Within a region every line stays, however short, except what is marked up as
+Gaussian and lines at or above their standard deviation form the content clusters, which choose the
+regions: the articles that hold clustered text, and main as a whole if it has some outside articles; where
+none of it is in either, the smallest block that holds all of it, which is never a paragraph, a heading
+or an inline element. An article without any is left out, and a page without clusters has no text. Within a region every line stays, however short, except what is marked up as
 navigation, header, footer, sidebar, notice, advert, form, script, style or readers' comments.
 """
 
@@ -206,7 +206,11 @@ def smoothed(values: list[float], radius: int = 2) -> list[float]:
 
 
 def main_text(html: str | None) -> str:
-    """The main text of a page: lines of its content region joined by newlines."""
+    """The main text of a page: lines of its content regions joined by newlines.
+
+    Of nested blocks that hold the same clustered text the innermost is the region; regions with equal
+    weight are all kept, so there are no ties to settle.
+    """
     if not html:
         return ""
     parser = LineParser()
@@ -219,24 +223,26 @@ def main_text(html: str | None) -> str:
     smooth = smoothed(ratios)
     mean = sum(smooth) / len(smooth)
     threshold = min((sum((v - mean) ** 2 for v in smooth) / len(smooth)) ** 0.5, max(smooth))
-    content = [v >= threshold and link <= len(text) / 2 for v, (text, _, link, _) in zip(smooth, lines)]
+    clustered = [v > 0 and v >= threshold for v in smooth]
+    content = [c and link <= len(text) / 2 for c, (text, _, link, _) in zip(clustered, lines)]
+    content = content if any(content) else clustered  # a page of links
+    if not any(content):
+        return ""
     count = len(parser.tag_of)
-    # clustered text, that outside articles, lines, and the last element inside
-    weight, free, held, last = [0] * count, [0] * count, [0] * count, list(range(count))
+    # clustered text, that outside articles, and the last element inside
+    weight, free, last = [0] * count, [0] * count, list(range(count))
     for chosen, (text, _, _, at) in zip(content, lines):
         weight[at] += len(text) if chosen else 0
         free[at] = weight[at]
-        held[at] += 1
     for n in range(count - 1, 0, -1):  # children before parents
         up = parser.parent[n]
         weight[up] += weight[n]
         free[up] += free[n] if parser.tag_of[n] != "article" else 0
-        held[up] += held[n]
         last[up] = max(last[up], last[n])
-    explicit = [n for n in range(1, count) if held[n] and parser.tag_of[n] in CONTAINERS]
-    if explicit:
+    marked = [n for n in range(1, count) if parser.tag_of[n] in CONTAINERS and (weight if parser.tag_of[n] == "article" else free)[n]]
+    if marked:
         kept, end = bytearray(count), 0
-        for n in [n for n in explicit if (weight if parser.tag_of[n] == "article" else free)[n]] or explicit:
+        for n in marked:
             if n > end:
                 end = last[n]
                 kept[n : end + 1] = b"\1" * (end + 1 - n)

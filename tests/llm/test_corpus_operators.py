@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -518,6 +519,28 @@ def test_articles_of_the_pages_are_found_whole(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_clusters_choose_the_region(monkeypatch):
+    big = ("word " * 60).strip()
+    # the tags decide nothing where clusters are elsewhere: a teaser of links in an article, the text in a block
+    links = "".join(f"<li><a href={i}>item {i}</a></li>" for i in range(30))
+    page = f"<body><article><ul>{links}</ul></article><div><h2>T</h2><p>{big}</p><p>{big}</p><p>{big}</p><p>End.</p></div></body>"
+    assert html_text.main_text(page) == "\n".join(["T", big, big, big, "End."])
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    for r in table:
+        assert html_text.main_text(re.sub(r"<(/?)article\b", r"<\1div", r["html"])) == html_text.main_text(r["html"]), r["page_id"]
+    monkeypatch.setattr(html_text, "smoothed", lambda values: [0.0] * len(values))
+    assert not any(html_text.main_text(r["html"]) for r in table)
+
+
+def test_pages_through_spark(spark):
+    rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (3, "v", "", "y"), (None, "w", "<p>Tiny</p>", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = sorted(map(tuple, html_text.extract_pages(pages).collect()), key=repr)
+    text = html_text.main_text(PAGE)
+    assert out == sorted([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (3, "v", "", 0), (None, "w", "Tiny", 4)], key=repr)
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(8)
     rows = []
