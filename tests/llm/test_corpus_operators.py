@@ -274,14 +274,41 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(docs(spark, rows), bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_proximity_matches():
-    phrases = decontamination.PhraseSet([("a", "one two three")], {b"one": 0, b"two": 1, b"three": 2}, 10)
-    phrases.order_by_rarity({0: 1, 1: 5, 2: 2})
-    text = [0, -1, 1, 2]  # one X two three
-    at = {t: [i for i, x in enumerate(text) if x == t] for t in (0, 1, 2)}
-    arrays = np.array([0, 1, 2]), np.array([1, 1, 1]), np.array(sum(at.values(), []))
-    assert len(decontamination.match_segment(phrases, *arrays)[0]) == 0
-    assert len(decontamination.match_segment(phrases, *arrays, slop=1)[0]) == 1
+@pytest.mark.parametrize("slop", [0, 1, 2, 3])
+def test_proximity_matches(spark, monkeypatch, slop):
+    """Every window against every place of every document, at their starts and ends too."""
+    monkeypatch.setattr(decontamination, "PLACES", 50)
+    rng = random.Random(20 + slop)
+    rows = [(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 14)))) for i in range(40)] + [(40, "b x x x x x a"), (41, "a b"), (42, "b a"), (43, "x x x x x x b x x x x x a")]
+    items = [(1, "b a"), (2, "a b c"), (3, "c"), (4, " ".join(rng.choices("abcdef", k=9)))]
+    out = decontamination.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), window=4, slop=slop).collect()
+    every = [w.decode() for _, t in rows for w in decontamination.words(t)]
+    expected = []
+    for i, t in rows:
+        w, hit, found = t.split(), set(), set()
+        for item, text in items:
+            for win in decontamination.windows(text, 4):
+                win = [x.decode() for x in win]
+                rarest = min(range(len(win)), key=lambda k: (every.count(win[k]), k))
+                for p in range(len(w)):
+                    if w[p] != win[rarest]:
+                        continue
+                    near = [[q for q in range(max(0, p + k - rarest - slop), p + k - rarest + slop + 1) if q < len(w) and w[q] == x] for k, x in enumerate(win)]
+                    near[rarest] = [p]
+                    if all(near):
+                        hit |= {q[0] for q in near}
+                        found.add(str(item))
+        expected.append((i, len(w), len(hit), tuple(sorted(found))))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in out) == sorted(expected)
+
+
+def test_long_items_are_cut_with_all_their_windows(spark):
+    rng = random.Random(7)
+    long = [f"t{rng.randrange(300)}" for _ in range(2000)]
+    rows = [(i, " ".join(long[at : at + 12])) for i, at in enumerate(range(0, 1988, 11))]
+    bench = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    out = decontamination.decontaminate(docs(spark, rows), bench, max_window_words=8_000).collect()
+    assert len(out) == len(rows) and all(r.n_hit == 12 and r["items"] == ["1"] for r in out)
 
 
 def test_line_dedup(spark):
