@@ -3,29 +3,38 @@
 For unit vectors, cosine >= c is a squared distance <= T = 2 - 2c. Vectors are rotated to the
 principal axes and cut into blocks; each block gets a share of T in proportion to its share of
 the variance. The shares add up to T, so a close pair keeps within its budget in some block.
-Each block is range-joined on a grid over its leading axes: cells are two radii wide, a vector is
-at home in its own cell and visits the greater cells that its ball touches. A pair that is
-found is verified on the original vectors in double precision, and it is counted in the first
-block that it keeps within the budget of, so the union of the candidates needs no second pass.
-
-Equal vectors are one row with a multiplicity. Cells of over ``CHUNK`` rows are cut into chunks
-and each two chunks are a task, so no task or driver holds an unbounded group. Tasks give sums of
-links and the edges of a spanning forest, never pairs.
+
+*Tiles.* A label's vectors are dealt to slabs as wide as the whole radius along the first axis, so that close pairs are
+in equal or neighbouring slabs; a slab of over ``CHUNK`` vectors is cut into parts by hash. Each two parts of such
+slabs are a tile, a task that compares them, and any pair of vectors is in one tile at most. A label of up to ``CHUNK`` vectors is one
+tile, to which each vector goes once; of a larger one, each vector goes to as many tiles as its slab and the two beside it have parts,
+so what is shuffled grows with a label's size over ``CHUNK``, and comparisons with its square unless the first axis tells vectors apart.
+
+*Blocks.* Within a tile each block is range-joined: both sides are sorted along the block's first axis, and slices of one
+side meet the stretch of the other that their balls can reach. What keeps within the block's budget is a candidate; the union
+of the candidates (a pair counts in the first block that it keeps within) is verified on the original
+vectors in double precision.
+
+Equal vectors are one row with a multiplicity. Tasks give sums of links and the edges of a spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.graph import connected_components
 from quillspark.storage import materialise
 
-CHUNK = 2048
+#: Vectors of one side of a tile.
+CHUNK = 16_384
+#: Rows of a tile's side that are compared at a time.
+STEP = 1024
 SLACK = 1e-9
-LARGE_CELLS_BROADCAST = 100_000
+#: What a squared distance in single precision may be off by, with room.
+ROUGH = 1e-5
+#: Large labels up to which their table is broadcast.
+LARGE_LABELS = 100_000
 
 
 def _moments(classes: DataFrame, dim: int):
@@ -85,97 +94,91 @@ class Rotation:
         return np.einsum("ij,ij->i", part, part) <= self.budgets[b] * (1 + SLACK) + SLACK
 
 
-def _visits(classes: DataFrame, rotation: Rotation, dim: int, grid_axes: int) -> DataFrame:
+def _slabs(classes: DataFrame, rotation: Rotation, dim: int, radius: float) -> DataFrame:
+    """``classes`` with ``slab``: the stretch of length ``radius`` along the first axis that a vector is in."""
     shared = classes.sparkSession.sparkContext.broadcast(rotation)
+    names = ["label", "id", "copies", "embedding"]
 
-    def cells(batches):
+    def place(batches):
         import numpy as np
         import pyarrow as pa
 
-        r = shared.value
-        names = ["label", "block", "cell", "home", "id", "copies", "embedding"]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            image = r.rotate(_unit(batch.column("embedding"), dim))
-            for b in range(r.blocks):
-                g = min(grid_axes, r.cuts[b + 1] - r.cuts[b])
-                lead = image[:, r.cuts[b] : r.cuts[b] + g]
-                radius = np.sqrt(r.budgets[b] * (1 + SLACK) + SLACK) * (1 + SLACK)
-                width = 2 * radius
-                own = np.floor(lead / width).astype(np.int64)
-                low = np.floor((lead - radius) / width).astype(np.int64)
-                high = np.floor((lead + radius) / width).astype(np.int64)
-                for step in product((-1, 0, 1), repeat=g):
-                    if step < (0,) * g:
-                        continue  # only its own and greater cells
-                    cell = own + np.array(step)
-                    take = np.flatnonzero(((cell >= low) & (cell <= high)).all(1))
-                    if len(take):
-                        rows = batch.take(pa.array(take))
-                        code = np.zeros(len(take), np.int64)
-                        for axis in range(g):
-                            code = code * 1_000_003 + cell[take, axis]
-                        yield pa.RecordBatch.from_arrays(
-                            [rows.column("label"), pa.array(np.full(len(take), b, np.int32)), pa.array(code), pa.array(np.full(len(take), not any(step))), rows.column("id"), rows.column("copies"), rows.column("embedding")],
-                            names=names,
-                        )
-
-    kind = dict(classes.dtypes)["embedding"]
-    return classes.mapInArrow(cells, f"label {dict(classes.dtypes)['label']}, block int, cell long, home boolean, id long, copies long, embedding {kind}")
-
-
-def _tasks(visits: DataFrame) -> DataFrame:
-    """Give each row the task, or for a large cell the tasks, that it takes part in."""
-    cell = ["label", "block", "cell"]
-    large = materialise(visits.groupBy(*cell).count().filter(F.col("count") > CHUNK).select(*cell, F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large-cells")
-    if large.limit(LARGE_CELLS_BROADCAST + 1).count() <= LARGE_CELLS_BROADCAST:
+            if batch.num_rows:
+                lead = _unit(batch.column("embedding"), dim) @ shared.value.axes[:, 0]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.floor(lead / radius).astype(np.int32))], names=[*names, "slab"])
+
+    kinds = dict(classes.dtypes)
+    return classes.select(*names).mapInArrow(place, f"label {kinds['label']}, id long, copies long, embedding {kinds['embedding']}, slab int")
+
+
+def _tiles(placed: DataFrame) -> DataFrame:
+    """Each row once for each tile that it takes part in; ``left``: whether on the tile's first side."""
+    sizes = placed.groupBy("label", "slab").agg(F.count("*").alias("n"))
+    # a label has no more slabs than the unit sphere is wide
+    labels = sizes.groupBy("label").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("slab", F.ceil(F.col("n") / CHUNK).cast("int")))).alias("parts"))
+    large = materialise(labels.filter(F.col("n") > CHUNK).select("label", "parts"), "large-labels")
+    if large.limit(LARGE_LABELS + 1).count() <= LARGE_LABELS:
         large = F.broadcast(large)
-    chunks = F.coalesce("chunks", F.lit(1))
-    rows = visits.join(large, cell, "left").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    return rows.withColumn("other", other).select(*cell, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "home", "id", "copies", "embedding")
+    rows = placed.join(large, "label", "left").withColumn("slab", F.when(F.col("parts").isNull(), 0).otherwise(F.col("slab")))
+    parts = lambda slab: F.coalesce(F.element_at("parts", slab), F.lit(0))
+    rows = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.greatest(parts(F.col("slab")), F.lit(1)))).cast("int"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
+    tile = lambda slab, i, right, j, left: F.struct(slab.alias("slab"), i.alias("i"), right.alias("right"), j.alias("j"), left.alias("left"))
+    slab, part = F.col("slab"), F.col("part")
+    own = F.when(F.col("parts").isNull(), F.lit(1)).otherwise(parts(slab))
+    tiles = F.concat(
+        F.transform(upto(own), lambda k: tile(slab, F.least(part, k), slab, F.greatest(part, k), part <= k)),
+        F.when(F.col("parts").isNull(), F.array().cast("array<struct<slab:int,i:int,right:int,j:int,left:boolean>>")).otherwise(
+            F.concat(
+                F.transform(upto(parts(slab + 1)), lambda k: tile(slab, part, slab + 1, k, F.lit(True))),
+                F.transform(upto(parts(slab - 1)), lambda k: tile(slab - 1, k, slab, part, F.lit(False))),
+            )
+        ),
+    )
+    return rows.select("label", "id", "copies", "embedding", F.explode(tiles).alias("tile")).select("label", "tile.*", "id", "copies", "embedding")
 
 
-def _linked_pairs(rotation: Rotation, unit, image, block: int, left, right, same: bool, home, cosine: float):
-    """Index pairs of a tile whose first block within budget is ``block`` and whose cosine passes."""
+def _candidates(rotation: Rotation, image, block: int, left, right, same: bool):
+    """Index pairs of a tile within ``block``'s budget, a slice of one side at a time."""
     import numpy as np
 
     a, b = rotation.cuts[block], rotation.cuts[block + 1]
-    x, y = image[left, a:b], image[right, a:b]
-    rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-    near = rough <= rotation.budgets[block] + 1e-6
-    near &= home[left][:, None] | home[right][None, :]
-    if same:
-        near &= left[:, None] < right[None, :]
-    i, j = np.nonzero(near)
-    for at in range(0, len(i), 20_000):
-        p, q = left[i[at : at + 20_000]], right[j[at : at + 20_000]]
-        difference = image[p] - image[q]
-        keep = rotation.within(difference, block)
-        for earlier in range(block):
-            keep &= ~rotation.within(difference, earlier)
-        p, q = p[keep], q[keep]
-        close = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
-        yield p[close], q[close]
-
-
-def _links(tasks: DataFrame, rotation: Rotation, dim: int, cosine: float) -> DataFrame:
-    """``id, links, leader``: verified links of each row in each task, and its forest's least id."""
-    shared = tasks.sparkSession.sparkContext.broadcast(rotation)
+    reach = float(np.sqrt(rotation.budgets[block] + ROUGH)) * (1 + SLACK) + SLACK
+    x, y = (side[np.argsort(image[side, a], kind="stable")] for side in (left, right))
+    lead = image[y, a]
+    # the squared distance as one product: x.x + y.y - 2 x.y
+    own, other = image[x, a:b], image[y, a:b]
+    sums = lambda v: (v * v).sum(1)[:, None]
+    own = np.concatenate([-2 * own, sums(own), np.ones((len(own), 1))], 1).astype(np.float32)
+    other = np.concatenate([other, np.ones((len(other), 1)), sums(other)], 1).astype(np.float32)
+    limit = np.float32(rotation.budgets[block] + ROUGH)
+    for at in range(0, len(x), STEP):
+        part = image[x[at : at + STEP], a]
+        low, high = np.searchsorted(lead, part[0] - reach), np.searchsorted(lead, part[-1] + reach, side="right")
+        i, j = np.nonzero(own[at : at + STEP] @ other[low:high].T <= limit)
+        i, j = x[at + i], y[low + j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 20_000):
+            yield i[k : k + 20_000], j[k : k + 20_000]
+
+
+def _links(tiles: DataFrame, rotation: Rotation, dim: int, cosine: float) -> DataFrame:
+    """``id, links, leader``: verified links of each row in each tile, and its forest's least id."""
+    shared = tiles.sparkSession.sparkContext.broadcast(rotation)
 
     def verify(key, frame):
         import numpy as np
         import pandas as pd
 
-        r, block, i, j = shared.value, int(key[1]), int(key[3]), int(key[4])
+        r, same = shared.value, key[1] == key[3] and key[2] == key[4]
         frame = frame.sort_values("id", kind="stable")
-        ids, copies, home = frame["id"].to_numpy(), frame["copies"].to_numpy(), frame["home"].to_numpy()
+        ids, copies, side = frame["id"].to_numpy(), frame["copies"].to_numpy(), frame["left"].to_numpy()
         raw = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
         unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         image = r.rotate(unit)
-        chunk = frame["chunk"].to_numpy()
-        first, second = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        first, second = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side), np.flatnonzero(~side))
         links, leader = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
         def root(n):
@@ -184,8 +187,15 @@ def _links(tasks: DataFrame, rotation: Rotation, dim: int, cosine: float) -> Dat
                 n = leader[n]
             return n
 
-        for at in range(0, len(first), 512):
-            for p, q in _linked_pairs(r, unit, image, block, first[at : at + 512], second, i == j, home, cosine):
+        for block in range(r.blocks if len(first) and len(second) else 0):
+            for p, q in _candidates(r, image, block, first, second, same):
+                difference = image[p] - image[q]
+                keep = r.within(difference, block)
+                for earlier in range(block):
+                    keep &= ~r.within(difference, earlier)
+                p, q = p[keep], q[keep]
+                close = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
+                p, q = p[close], q[close]
                 np.add.at(links, p, copies[q])
                 np.add.at(links, q, copies[p])
                 apart = leader[p] != leader[q]
@@ -195,11 +205,11 @@ def _links(tasks: DataFrame, rotation: Rotation, dim: int, cosine: float) -> Dat
         some = np.flatnonzero(links)
         return pd.DataFrame({"id": ids[some], "links": links[some], "leader": ids[[root(n) for n in some]] if len(some) else ids[:0]})
 
-    return tasks.groupBy("label", "block", "cell", "i", "j").applyInPandas(verify, "id long, links long, leader long")
+    return tiles.groupBy("label", "slab", "i", "right", "j").applyInPandas(verify, "id long, links long, leader long")
 
 
 def embedding_links(
-    vectors: DataFrame, cosine: float = 0.93, blocks: int = 4, grid_axes: int = 2, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding"
+    vectors: DataFrame, cosine: float = 0.93, blocks: int = 4, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
@@ -225,7 +235,8 @@ def embedding_links(
     for (dim,) in classes.select(F.size("embedding")).distinct().collect():
         own = classes.filter(F.size("embedding") == dim)
         rotation = Rotation(*_moments(own, dim), cosine, min(blocks, dim))
-        part = _links(_tasks(_visits(own, rotation, dim, grid_axes)), rotation, dim, cosine)
+        radius = max(2 - 2 * cosine, 0.0) ** 0.5 * (1 + SLACK) + SLACK
+        part = _links(_tiles(_slabs(own, rotation, dim, radius)), rotation, dim, cosine)
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

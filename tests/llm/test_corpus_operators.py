@@ -466,7 +466,8 @@ def test_embedding_links(spark, monkeypatch, chunk):
         v = centres[i % 6] + rng.normal(size=24) * (0.05, 0.3, 0.45)[i % 3]
         rows.append((i, v.astype(np.float32).tolist(), i % 2))
     rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, [0.0] * 24, 0), (203, None, 0), (204, rows[0][1], None), (205, [float("nan")] * 24, 0), (206, [1.0, 2.0], 0), (207, [1.0, 2.1], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, label int, id int, copies int, slab int")
+    assert embedding_dedup.embedding_links(frame.limit(0)).count() == 0
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_links(frame).collect()}
 
     def linked(a, b):
