@@ -195,3 +195,45 @@ def test_decoding_and_shuffle_leave_nothing_out(spark):
     ids = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
     shuffled = [(r.h, r.doc_id) for r in registry.queries()["r24_seeded_shuffle"](spark, folder).collect()]
     assert sorted(i for _, i in shuffled) == sorted(ids) and shuffled == sorted(shuffled)
+
+
+@pytest.mark.parametrize("rows", [4_000_000, 400, 20])
+def test_containment_equals_a_plain_count(spark, monkeypatch, rows):
+    """In one part, in parts of whole items, and with items over several parts."""
+    from quillspark.operators import corpus
+
+    monkeypatch.setattr(corpus, "INDEX_ROWS", rows)
+    rng = random.Random(11)
+    draw = lambda n: " ".join(rng.choices("abcd", k=n))
+    docs = [(i, draw(rng.randint(0, 30)).upper()) for i in range(40)] + [(40, None), (41, " a\n b\tc  d a ")]
+    items = [(f"i{i}", draw(rng.randint(0, 60))) for i in range(12)] + [("none", None)]
+    out = corpus.containment(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
+    expected = []
+    for i, t in docs:
+        if own := grams(t):
+            share, item = min((-len(own & grams(x)) / len(own), k) for k, x in items)
+            expected.append((i, -share, item if share else None))
+    assert sorted(map(tuple, out)) == sorted((i, s + 0.0, k) for i, s, k in expected)
+
+
+def test_overlap_clusters_equal_all_pairs(spark):
+    from quillspark.operators import corpus
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    docs = []
+    for i in range(60):
+        at, n = rng.randrange(30), rng.randint(1, 14)
+        docs.append((i, " ".join(base[at : at + n] + [f"x{rng.randrange(50)}"] * rng.randint(0, 6))))
+    docs += [(60, docs[3][1]), (61, ""), (62, None)]
+    for threshold in (0.3, 0.7, 1.0):
+        got = dict(map(tuple, corpus.overlap_clusters(spark.createDataFrame(docs, "doc_id long, text string"), threshold).collect()))
+        sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(max(1, len(w) - 4))} for i, t in docs if t}
+        label = {i: i for i in sets}
+        for _ in sets:
+            for a in sets:
+                for b in sets:
+                    if len(sets[a] & sets[b]) >= threshold * min(len(sets[a]), len(sets[b])):
+                        label[a] = label[b] = min(label[a], label[b])
+        assert got == label
