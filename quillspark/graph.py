@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.storage import materialise
+from quillspark.storage import discard, scratch_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,12 +36,15 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     edges with a null end are ignored. Rounds grow with the logarithm of a component's
     diameter; each is written to the shared folder, and only a row count reaches the driver.
     """
-    current = materialise(
-        edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct(), "edges"
-    )
-    before = None
+    spark = edges.sparkSession
+    path = scratch_path(spark, "edges")
+    edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct().write.parquet(path)
+    current, before = spark.read.parquet(path), None
     for _ in range(max_rounds):
-        current = materialise(_small_star(_large_star(current)), "stars")
+        former, path = path, scratch_path(spark, "stars")
+        _small_star(_large_star(current)).write.parquet(path)
+        current = spark.read.parquet(path)
+        discard(spark, former)  # nothing is computed from it any more
         n, total = current.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if (n, total) == before:
             break

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.storage import materialise
+
 #: Knots (ratio, confidence) of the default calibration.
 KNOTS = ((0.0, 0.999), (0.5, 0.99), (0.7, 0.95), (0.85, 0.8), (0.95, 0.6), (1.0, 0.5))
 
@@ -72,13 +74,17 @@ def sweep(scored: DataFrame, value: str, positive: str, thresholds: list[float])
 def youden(scored: DataFrame, value: str, positive: str) -> DataFrame:
     """The distinct value with the largest recall less false-flag rate of ``value <= it``; the least wins.
 
-    Values are counted first; running sums go over at most as many rows as there are values.
+    Values are counted, then dealt to ranges; running sums go over a range, on top of the sums of those before.
     """
     counts = scored.groupBy(F.col(value).alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    total = counts.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    upto = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    gains = counts.withColumns({"cp": F.sum("p").over(upto), "cq": F.sum("q").over(upto)}).join(F.broadcast(total))
-    youden = F.round(F.col("cp") / F.col("tp") - F.col("cq") / F.col("tq"), 12)
+    ranged = materialise(counts.repartitionByRange("threshold").withColumn("part", F.spark_partition_id()), "value-ranges")
+    sums = ranged.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bases = sums.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("sp", "sq")], F.sum("sp").over(every).alias("tp"), F.sum("sq").over(every).alias("tq"))
+    upto = Window.partitionBy("part").orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
+    gains = ranged.withColumns({"cp": F.sum("p").over(upto), "cq": F.sum("q").over(upto)}).join(bases, "part")
+    youden = F.round((F.col("cp") + F.col("before_sp")) / F.col("tp") - (F.col("cq") + F.col("before_sq")) / F.col("tq"), 12)
     best = gains.select("threshold", youden.alias("j")).agg(F.min(F.struct(-F.col("j"), F.col("threshold"))).alias("b"))
     return best.select(F.col("b.threshold").alias("threshold"), (-F.col("b.col1")).alias("j"))
 

@@ -122,10 +122,10 @@ class Decoder:
                 state = "title" if state in ("initial", "title") else "lower"
         return bad
 
-    def decode(self, edges: list[tuple]) -> tuple[str | None, float | None]:
-        """``edges``: (from, to, character, distance, prior). The best complete path, or nulls."""
+    def paths(self, edges: list[tuple]) -> list[tuple[float, str]]:
+        """Complete paths that the beam keeps, with their scores but for the lexicon's and the case's terms."""
         if not edges:
-            return None, None
+            return []
         start, end = min(e[0] for e in edges), max(e[1] for e in edges)
         best: dict[int, list] = {start: [(0.0, "")]}
         leaving: dict[int, list] = {}
@@ -138,9 +138,12 @@ class Decoder:
                 for _, to, char, distance, prior in leaving.get(node, ()):
                     step = self.bonus - self.w_match * distance + self.w_bigram * self.bigram(text[-1:], char) + self.w_seg * prior
                     best.setdefault(to, []).append((score + step, text + char))
+        return [(score + self.w_bigram * self.bigram(text[-1:], ""), text) for score, text in best.get(end, ())]
+
+    def decode(self, edges: list[tuple]) -> tuple[str | None, float | None]:
+        """``edges``: (from, to, character, distance, prior). The best complete path, or nulls."""
         done = []
-        for score, text in best.get(end, ()):
-            total = score + self.w_bigram * self.bigram(text[-1:], "")
+        for total, text in self.paths(edges):
             if not self.identifier(text):
                 tier = self.lexicon.get(text.lower())
                 total += self.w_lex * len(text) * self.tiers[min(tier, 5) - 1] if tier else 0.0
@@ -149,16 +152,43 @@ class Decoder:
         return (min(done)[1], -min(done)[0]) if done else (None, None)
 
 
-def decode_words(edges: DataFrame, decoder: Decoder) -> DataFrame:
-    """One row per word of ``(word, src, dst, ch, d, prior)``: ``word, text, score, identifier``."""
-
-    def run(key, frame):
-        import pandas as pd
+def decode_words(edges: DataFrame, decoder: Decoder, lexicon: DataFrame | None = None) -> DataFrame:
+    """One row per word of ``(word, src, dst, ch, d, prior)``: ``word, text, score, identifier``.
 
-        text, score = decoder.decode(list(frame.sort_values(["src", "dst", "ch", "d"])[["src", "dst", "ch", "d", "prior"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(key[0], text, score, bool(text and decoder.identifier(text)))], columns=["word", "text", "score", "identifier"])
-
-    return edges.groupBy("word").applyInPandas(run, f"word {dict(edges.dtypes)['word']}, text string, score double, identifier boolean")
+    ``lexicon(word, tier)`` may be of any size: the beam's paths, at most ``beam`` for each word, are joined with it. Without
+    one, the decoder's own is used.
+    """
+    kind, alone = dict(edges.dtypes)["word"], lexicon is None
+    lattices = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "ch", "d", "prior"))).alias("edges"))
+    # decoding costs far more than its rows weigh, so they aren't coalesced by size
+    lattices = lattices.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for k, lattice in enumerate(batch.column("edges").to_pylist()):
+                steps = [tuple(e.values()) for e in lattice]
+                if alone:
+                    text, score = decoder.decode(steps)
+                    rows.append((k, text, score, 0.0, bool(text and decoder.identifier(text)), None, 0))
+                    continue
+                for score, text in decoder.paths(steps) or [(None, None)]:
+                    known = bool(text and decoder.identifier(text))
+                    rows.append((k, text, score, 0.0 if known or text is None else decoder.case_penalty * decoder.anomalies(text), known, None if known or text is None else text.lower(), len(text or "")))
+            at, *columns = zip(*rows) if rows else [[]] * 7
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["word", "text", "score", "penalty", "identifier", "lower", "size"])
+
+    paths = lattices.mapInArrow(run, f"word {kind}, text string, score double, penalty double, identifier boolean, lower string, size int")
+    if lexicon is None:
+        return paths.select("word", "text", "score", "identifier")
+    tiers = F.array(*[F.lit(t) for t in decoder.tiers])
+    known = paths.join(lexicon.select(F.col("word").alias("lower"), "tier"), "lower", "left")
+    bonus = F.coalesce(decoder.w_lex * F.col("size") * F.element_at(tiers, F.least("tier", F.lit(5))), F.lit(0.0))
+    best = F.min(F.struct((-(F.col("score") + bonus - F.col("penalty"))).alias("less"), "text", "identifier"))
+    return known.groupBy("word").agg(best.alias("b")).select("word", "b.text", (-F.col("b.less")).alias("score"), "b.identifier")
 
 
 def probe_reading(edges: DataFrame) -> DataFrame:

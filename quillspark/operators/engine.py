@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import confidence, matching
 
-#: Settings and defaults; a name that isn't here is refused.
+#: Settings and defaults; a name that isn't here is refused.
 DEFAULTS = {"match.top_k": 3.0, "confidence.lm_floor": 0.8, "route.matcher_margin": 0.7, "route.net_prob": 0.7, "decode.beam_width": 14.0, "match.classifier": 0.0}
 
 
 class Engine:
     """``recognize`` gives words, ``recognize_lines`` nested lines, ``probe`` ranked candidates."""
 
-    def __init__(self, bank: DataFrame, network: object | None = None):
-        self.bank, self.network = bank, network
+    def __init__(self, bank: DataFrame, network: object | None = None, exclude: str | None = None):
+        """``exclude`` names a column of bank and glyphs whose equal values aren't matched with each other."""
+        self.bank, self.network, self.exclude = bank, network, exclude
         self.params = dict(DEFAULTS)
         self.weights: list[float] | None = None
 
@@ -39,7 +40,7 @@ class Engine:
 
     def probe(self, glyphs: DataFrame) -> DataFrame:
         """Ranked candidates per glyph ``(q, vec)`` with distance ratio and confidence."""
-        found = matching.class_distances(glyphs.select("q", "vec"), self.bank, self.weights)
+        found = matching.class_distances(glyphs.select("q", "vec", *([self.exclude] if self.exclude else [])), self.bank, self.weights, exclude=self.exclude)
         top = matching.top_classes(found, int(self.params["match.top_k"]))
         ratio = matching.ratio(F.col("d1"), F.col("d2"))
         return top.select("q", "class", "rank", "d", confidence.character(ratio).alias("conf"))
@@ -47,7 +48,7 @@ class Engine:
     def recognize(self, glyphs: DataFrame) -> DataFrame:
         """One row per word of ``(page, line, word, q, vec)``: text and confidence."""
         best = self.probe(glyphs).filter("rank = 1")
-        chars = glyphs.drop("vec").join(best, "q", "left").withColumn("class", F.coalesce("class", F.lit("?")))
+        chars = glyphs.select("page", "line", "word", "q").join(best, "q", "left").withColumn("class", F.coalesce("class", F.lit("?")))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q", "class"))), lambda x: x["class"]), "")
         return chars.groupBy("page", "line", "word").agg(text.alias("text"), confidence.geometric_mean(F.coalesce("conf", F.lit(0.0))).alias("conf"), F.count("*").alias("chars"))
 

@@ -1,8 +1,8 @@
 """Nearest-prototype search with gates, quantised banks and style-consistent labels.
 
-The prototype bank is bounded (a model), so it goes to the queries: broadcast while it is under
-``BANK_BYTES``, else in slices of that size whose best candidates are merged. The search itself is
-one numpy product per batch; nothing quadratic is emitted.
+The prototype bank is a model, so it goes to the queries: broadcast while it is under ``BANK_BYTES``, else in
+slices of that size, one after another, whose best candidates are stored and merged. The search
+is one matrix product for each ``STEP`` queries; nothing quadratic is emitted.
 """
 
 from __future__ import annotations
@@ -11,15 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.storage import materialise
+
 BANK_BYTES = 64 << 20
+#: Queries of one matrix product.
+STEP = 64
+#: Rows of a class table up to which it is broadcast.
+CLASS_ROWS = 100_000
 
 
 def _slices(bank: DataFrame, vector: str):
-    """The bank as lists of rows, each within the bound."""
+    """The number of slices, and the bank as lists of rows, each within the bound."""
     n, size = bank.agg(F.count("*"), F.sum(F.size(vector) * 8)).first()
     parts = max(1, -(-(size or 0) // BANK_BYTES))
     for p in range(parts):
-        yield (bank if parts == 1 else bank.filter(F.pmod(F.xxhash64("proto_id"), F.lit(parts)) == p)).orderBy("proto_id").collect()
+        yield parts, (bank if parts == 1 else bank.filter(F.pmod(F.xxhash64("proto_id"), F.lit(parts)) == p)).orderBy("proto_id").collect()
 
 
 def class_distances(queries: DataFrame, bank: DataFrame, weights: list[float] | None = None, gate: bool = False, exclude: str | None = None) -> DataFrame:
@@ -27,11 +33,14 @@ def class_distances(queries: DataFrame, bank: DataFrame, weights: list[float] |
 
     ``queries(q, vec[, hole][, exclude])``, ``bank(proto_id, class, vec[, holes][, exclude])``. Distances are
     weighted, summed in double and rooted, then rounded to float, so ties are ties of floats. With
-    ``gate``, only classes whose mask has the query's hole bit; the gate is dropped where it leaves none.
+    ``gate``, only classes whose mask has the query's hole bit; the gate is dropped where it leaves none. Prototypes whose
+    ``exclude`` column equals the query's are left out. Queries with a component that isn't finite have no rows.
     """
     extra = [c for c in (("hole",) if gate else ()) + ((exclude,) if exclude else ())]
+    kinds = dict(queries.dtypes)
+    schema = f"q {kinds['q']}, class {dict(bank.dtypes)['class']}, d double, proto_id {dict(bank.dtypes)['proto_id']}, gated boolean"
     found = None
-    for rows in _slices(bank, "vec"):
+    for parts, rows in _slices(bank, "vec"):
         shared = queries.sparkSession.sparkContext.broadcast(
             ([r.vec for r in rows], [r["class"] for r in rows], [r.proto_id for r in rows], [r.holes for r in rows] if gate else None, [r[exclude] for r in rows] if exclude else None)
         )
@@ -41,34 +50,51 @@ def class_distances(queries: DataFrame, bank: DataFrame, weights: list[float] |
             import pandas as pd
 
             vectors, classes, protos, masks, marks = shared.value
-            bank_, classes = np.array(vectors, float), np.array(classes)
+            bank_ = np.array(vectors, float)
+            names, inverse = np.unique(np.array(classes), return_inverse=True)
+            order = np.argsort(inverse, kind="stable")  # by class, then in the bank's order
+            bank_, inverse = bank_[order], inverse[order]
+            begins = np.flatnonzero(np.diff(inverse, prepend=-1))
             w = np.ones(bank_.shape[1]) if weights is None else np.array(weights, float)
-            names, inverse = np.unique(classes, return_inverse=True)
+            norms, weighted = (bank_**2) @ w, (bank_ * w).T
+            masks, marks = (None if x is None else np.array(x)[order] for x in (masks, marks))
             for frame in frames:
-                for at in range(0, len(frame), 256):
-                    part = frame.iloc[at : at + 256]
+                for at in range(0, len(frame), STEP):
+                    part = frame.iloc[at : at + STEP]
                     x = np.array(part["vec"].tolist(), float).reshape(len(part), -1)
-                    rows = []
-                    for i, q in enumerate(part["q"]):
-                        if not np.isfinite(x[i]).all():
-                            continue
-                        d = np.sqrt((((bank_ - x[i]) ** 2) * w).sum(1)).astype(np.float32)
-                        if marks is not None:
-                            d = np.where(np.array(marks) == part[exclude].iloc[i], np.inf, d)
-                        gated = False
-                        if masks is not None:
-                            allowed = (np.array(masks) >> int(part["hole"].iloc[i])) & 1 == 1
-                            gated = bool((allowed & np.isfinite(d)).any())
-                            d = np.where(allowed, d, np.inf) if gated else d
-                        order = np.lexsort((np.arange(len(d)), d, inverse))
-                        first = order[np.flatnonzero(np.diff(inverse[order], prepend=-1))]
-                        rows += [(q, names[inverse[k]], float(d[k]), protos[k], gated) for k in first if np.isfinite(d[k])]
-                    yield pd.DataFrame(rows, columns=["q", "class", "d", "proto_id", "gated"])
-
-        kinds = dict(queries.dtypes)
-        schema = f"q {kinds['q']}, class {dict(bank.dtypes)['class']}, d double, proto_id {dict(bank.dtypes)['proto_id']}, gated boolean"
+                    part, x = part[np.isfinite(x).all(1)], x[np.isfinite(x).all(1)]
+                    if not len(x):
+                        continue
+                    # squared distances as one product; where they come near the least, they are summed again below
+                    own = (x**2) @ w
+                    rough = own[:, None] + norms[None, :] - 2 * (x @ weighted)
+                    gated = np.zeros(len(x), bool)
+                    if marks is not None:
+                        rough[marks[None, :] == part[exclude].to_numpy()[:, None]] = np.inf
+                    if masks is not None:
+                        allowed = (masks[None, :] >> part["hole"].to_numpy().astype(int)[:, None]) & 1 == 1
+                        gated = (allowed & np.isfinite(rough)).any(1)
+                        rough[gated[:, None] & ~allowed] = np.inf
+                    least = np.maximum(np.minimum.reduceat(rough, begins, axis=1), 0)
+                    room = least * 1e-6 + 1e-11 * (own[:, None] + np.maximum.reduceat(norms, begins)[None, :])
+                    i, k = np.nonzero(np.isfinite(rough) & (rough <= (least + room)[:, inverse]))
+                    d = np.sqrt((((bank_[k] - x[i]) ** 2) * w).sum(1)).astype(np.float32)
+                    best = np.lexsort((k, d, inverse[k], i))
+                    best = best[np.flatnonzero(np.diff(i[best] * len(names) + inverse[k[best]], prepend=-1))]
+                    i, k, d = i[best], k[best], d[best]
+                    yield pd.DataFrame({"q": part["q"].to_numpy()[i], "class": names[inverse[k]], "d": d.astype(float), "proto_id": [protos[order[j]] for j in k], "gated": gated[i]})
+
         part = queries.select("q", F.col("vec").cast("array<double>").alias("vec"), *extra).mapInPandas(search, schema)
-        found = part if found is None else found.union(part).groupBy("q", "class").agg(F.min(F.struct("d", "proto_id", "gated")).alias("b")).select("q", "class", "b.*")
+        if parts > 1:  # one slice is sent, searched and stored after another
+            part = materialise(part, "slice-distances")
+            shared.unpersist()
+        found = part if found is None else found.union(part)
+    if parts > 1:
+        if gate:
+            # a slice's gate may have been dropped where another slice has classes that it admits
+            admitted = found.groupBy("q").agg(F.max("gated").alias("any"))
+            found = found.join(admitted, "q").filter("gated = any").drop("any")
+        found = found.groupBy("q", "class").agg(F.min(F.struct("d", "proto_id", "gated")).alias("b")).select("q", "class", "b.*")
     return found
 
 
@@ -94,10 +120,12 @@ def class_gates(glyphs: DataFrame) -> DataFrame:
 def admitted(queries: DataFrame, gates: DataFrame, slack: float) -> DataFrame:
     """Classes whose range, widened by ``slack``, and whose hole mask admit a query.
 
-    Ranges of a bounded class table are broadcast; the query side isn't moved.
+    A class table of up to ``CLASS_ROWS`` is broadcast and the query side isn't moved; a larger one is a join without equality.
     """
+    gates = materialise(gates, "gates")
+    gates = F.broadcast(gates) if gates.limit(CLASS_ROWS + 1).count() <= CLASS_ROWS else gates
     bit = F.call_function("shiftleft", F.lit(1), F.col("hole"))
-    return queries.join(F.broadcast(gates), (F.col("aspect") >= F.col("lo") - slack) & (F.col("aspect") <= F.col("hi") + slack) & (F.col("holes").bitwiseAND(bit) != 0)).select("q", gates["class"])
+    return queries.join(gates, (F.col("aspect") >= F.col("lo") - slack) & (F.col("aspect") <= F.col("hi") + slack) & (F.col("holes").bitwiseAND(bit) != 0)).select("q", gates["class"])
 
 
 def quantise(vectors: DataFrame, vector: str) -> DataFrame:

@@ -193,37 +193,50 @@ def slant(scores: DataFrame, min_degrees: float = 6.0, margin: float = 1.08, deg
 def label(ink: DataFrame, eight: bool = True) -> DataFrame:
     """Connected components of the ink: labels 1.. in raster order of each one's first pixel.
 
-    One image is one group; its size is the image's, not the table's.
+    The ink of an image is one row; horizontal runs are linked to those of the next row, for a batch of images at once.
     """
+    reach = 1 if eight else 0
 
-    def labelled(frame):
+    def labelled(batches):
         import numpy as np
-
-        y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
-        order = np.lexsort((x, y))
-        frame, y, x = frame.iloc[order], y[order], x[order]
-        place = {p: i for i, p in enumerate(zip(y.tolist(), x.tolist()))}
-        parent = list(range(len(y)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        near = ((0, -1), (-1, 0), (-1, -1), (-1, 1)) if eight else ((0, -1), (-1, 0))
-        for i, (a, b) in enumerate(zip(y.tolist(), x.tolist())):
-            for dy, dx in near:
-                j = place.get((a + dy, b + dx))
-                if j is not None:
-                    u, v = root(i), root(j)
-                    parent[max(u, v)] = min(u, v)
-        first = [root(i) for i in range(len(y))]
-        number = {r: k for k, r in enumerate(sorted(set(first)), 1)}
-        return frame[["img", "y", "x"]].assign(label=[number[r] for r in first])
+        import pyarrow as pa
+
+        for batch in batches:
+            ink = batch.column("ink")
+            y, x = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in ink.flatten().flatten())
+            img = np.repeat(np.arange(batch.num_rows), np.diff(ink.offsets.to_numpy()))
+            if not len(y):
+                continue
+            width = int(x.max() - x.min()) + 4
+            row = img * (int(y.max() - y.min()) + 2) + y - y.min()
+            key = row * width + x - x.min() + 1
+            order = np.argsort(key, kind="stable")
+            key, y, x, img = key[order], y[order], x[order], img[order]
+            first = np.flatnonzero(np.diff(key, prepend=-2) > 1)
+            last = np.append(first[1:], len(key)) - 1
+            # runs of the next row from the first that ends at or after this one's start
+            low = np.searchsorted(key[last], key[first] + width - reach)
+            high = np.searchsorted(key[first], key[last] + width + reach, side="right")
+            n = np.maximum(high - low, 0)
+            u = np.repeat(np.arange(len(first)), n)
+            v = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            root = np.arange(len(first))
+            while len(u):
+                a, b = root[u], root[v]
+                apart = a != b
+                u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+            roots = np.unique(root)
+            owner = img[first[roots]]
+            number = np.arange(len(roots)) - np.searchsorted(owner, owner) + 1
+            labels = number[np.searchsorted(roots, root)][np.repeat(np.arange(len(first)), last - first + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("img").take(pa.array(img)), *(pa.array(a.astype(np.int32)) for a in (y, x, labels))], names=["img", "y", "x", "label"])
 
     kind = dict(ink.dtypes)["img"]
-    return ink.filter("ink").select("img", "y", "x").groupBy("img").applyInPandas(labelled, f"img {kind}, y int, x int, label int")
+    images = ink.filter("ink").groupBy("img").agg(F.collect_list(F.struct("y", "x")).alias("ink"))
+    return images.repartition(int(ink.sparkSession.conf.get("spark.sql.shuffle.partitions")), "img").mapInArrow(labelled, f"img {kind}, y int, x int, label int")
 
 
 def boxes(labelled: DataFrame, *by: str) -> DataFrame:

@@ -11,20 +11,20 @@ SUITE = Suite()
 
 
 def engine(t) -> Engine:
-    bank = t.embeddings.filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("proto_id"), F.col("label").cast("string").alias("class"), F.col("embedding").alias("vec"))
-    return Engine(bank)
+    bank = t.embeddings.select(F.col("vec_id").alias("proto_id"), F.col("label").cast("string").alias("class"), F.col("embedding").alias("vec"), F.col("vec_id").alias("self"))
+    return Engine(bank, exclude="self")
 
 
 def glyphs(t):
-    return t.embeddings.filter("vec_id % 5 = 0").select(
-        F.floor(F.col("vec_id") / 100).alias("page"), F.floor(F.col("vec_id") / 50).alias("line"), F.floor(F.col("vec_id") / 25).alias("word"), F.col("vec_id").alias("q"), F.col("embedding").alias("vec")
+    return t.embeddings.filter("vec_id % 20 = 0").select(
+        F.floor(F.col("vec_id") / 400).alias("page"), F.floor(F.col("vec_id") / 200).alias("line"), F.floor(F.col("vec_id") / 100).alias("word"), F.col("vec_id").alias("q"), F.col("embedding").alias("vec"), F.col("vec_id").alias("self")
     )
 
 
-_READ = """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0), b AS (SELECT label AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 <> 0),
-     d AS (SELECT q, CAST(c AS VARCHAR) AS c, CAST(min(sqrt(list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS FLOAT) AS d FROM q, b GROUP BY ALL),
+_READ = """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), b AS (SELECT vec_id AS p, label AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     d AS (SELECT q, CAST(c AS VARCHAR) AS c, CAST(min(sqrt(list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS FLOAT) AS d FROM q, b WHERE q <> p GROUP BY ALL),
      r AS (SELECT q, c FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, c) AS k FROM d) WHERE k = 1),
-     w AS (SELECT q // 100 AS page, q // 50 AS line, q // 25 AS word, string_agg(c, '' ORDER BY q) AS text FROM r GROUP BY ALL)"""
+     w AS (SELECT q // 400 AS page, q // 200 AS line, q // 100 AS word, string_agg(c, '' ORDER BY q) AS text FROM r GROUP BY ALL)"""
 
 
 @SUITE.query("a01_a02_recognize", f"{_READ} SELECT page, line, word, text FROM w")
@@ -38,20 +38,28 @@ def _(t):
     return lines.select("page", "line", F.size("words").cast("long").alias("words"), F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"))
 
 
-@SUITE.query("a05_a08_probe")
+@SUITE.query(
+    "a05_a08_probe",
+    """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), b AS (SELECT vec_id AS p, CAST(label AS VARCHAR) AS class, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+          d AS (SELECT q, class, CAST(min(sqrt(list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS FLOAT) AS d FROM q, b WHERE q <> p GROUP BY ALL),
+          r AS (SELECT *, row_number() OVER w AS rank, nth_value(d, 1) OVER e AS d1, nth_value(d, 2) OVER e AS d2 FROM d WINDOW w AS (PARTITION BY q ORDER BY d, class), e AS (PARTITION BY q ORDER BY d, class ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+          k(x0, y0, x1, y1) AS (VALUES (0.0, 0.999, 0.5, 0.99), (0.5, 0.99, 0.7, 0.95), (0.7, 0.95, 0.85, 0.8), (0.85, 0.8, 0.95, 0.6), (0.95, 0.6, 1.0, 0.5)),
+          x AS (SELECT *, CASE WHEN d2 IS NULL THEN 0.0 WHEN d2 = 0 THEN 1.0 ELSE CAST(d1 AS DOUBLE) / CAST(d2 AS DOUBLE) END AS ratio FROM r WHERE rank <= 2)
+       SELECT q, class, rank, CAST(d AS DOUBLE) AS d, coalesce((SELECT CAST(y0 AS DOUBLE) + CAST(y1 - y0 AS DOUBLE) * (ratio - x0) / CAST(x1 - x0 AS DOUBLE) FROM k WHERE ratio >= x0 AND ratio < x1), 0.5) AS conf, 'no network tables in the model' AS fallback FROM x""",
+)
 def _(t):
     e = engine(t)
     e.set_param("match.top_k", 2)
     e.set_feature_weights([1.0] * 64)
-    return e.probe(glyphs(t)).withColumn("fallback", F.lit(e.classifier_fallback()))
+    return e.probe(glyphs(t)).withColumn("rank", F.col("rank").cast("long")).withColumn("fallback", F.lit(e.classifier_fallback()))
 
 
 @SUITE.query(
     "x27_oracle_read",
-    f"{_READ} SELECT e.vec_id AS q, CASE WHEN vec_id % 10 = 5 THEN coalesce(r.c, '?') ELSE CAST(label AS VARCHAR) END AS text, vec_id % 10 = 5 AND r.c <> CAST(label AS VARCHAR) AS wrong FROM embeddings e LEFT JOIN r ON r.q = vec_id WHERE vec_id % 5 = 0",
+    f"{_READ} SELECT e.vec_id AS q, CASE WHEN vec_id % 40 = 20 THEN coalesce(r.c, '?') ELSE CAST(label AS VARCHAR) END AS text, vec_id % 40 = 20 AND r.c <> CAST(label AS VARCHAR) AS wrong FROM embeddings e LEFT JOIN r ON r.q = vec_id WHERE vec_id % 20 = 0",
 )
 def _(t):
-    truth = t.embeddings.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), F.col("label").cast("string").alias("ch"), (F.col("vec_id") % 10 == 5).alias("boxed"))
+    truth = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").cast("string").alias("ch"), (F.col("vec_id") % 40 == 20).alias("boxed"))
     read = engine(t).probe(glyphs(t)).filter("rank = 1").select("q", "class")
     text = F.when(F.col("boxed"), F.coalesce("class", F.lit("?"))).otherwise(F.col("ch"))
     return truth.join(read, "q", "left").select("q", text.alias("text"), (F.col("boxed") & (F.col("class") != F.col("ch"))).alias("wrong"))

@@ -1,4 +1,8 @@
-"""Matching queries: ``embeddings`` are prototypes (vec_id % 5 <> 0) and queries (vec_id % 5 = 0)."""
+"""Matching queries over ``embeddings``.
+
+A search takes the rows with ``vec_id % 20 = 0`` as queries, against all rows but the query itself. Held-out
+evaluation takes ``vec_id % 5 = 0`` against the others.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +13,24 @@ from quillspark.plans.base import Suite
 
 SUITE = Suite()
 
-_Q = "q AS (SELECT vec_id AS q, label AS truth, CAST(embedding AS DOUBLE[]) AS vec, CAST(vec_id % 3 AS INT) AS hole FROM embeddings WHERE vec_id % 5 = 0)"
-_B = "b AS (SELECT vec_id AS proto_id, label AS class, CAST(embedding AS DOUBLE[]) AS vec, CAST(vec_id % 7 + 1 AS INT) AS holes, CAST(vec_id % 4 AS INT) AS face FROM embeddings WHERE vec_id % 5 <> 0)"
-_D = f"""{_Q}, {_B}, d AS (SELECT q, class, min(d) AS d FROM (SELECT q, class, CAST(sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS FLOAT) AS d FROM q, b) GROUP BY ALL)"""
+_VEC = "CAST(embedding AS DOUBLE[]) AS vec"
+_Q = f"q AS (SELECT vec_id AS q, label AS truth, {_VEC}, CAST(vec_id % 3 AS INT) AS hole FROM embeddings WHERE vec_id % 20 = 0)"
+_B = f"b AS (SELECT vec_id AS proto_id, label AS class, {_VEC}, CAST(vec_id % 7 + 1 AS INT) AS holes, CAST(vec_id % 4 AS INT) AS face FROM embeddings)"
+_APART = "sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+_D = f"""{_Q}, {_B}, d AS (SELECT q, class, min(d) AS d FROM (SELECT q, class, CAST({_APART} AS FLOAT) AS d FROM q, b WHERE q <> proto_id) GROUP BY ALL)"""
+_HQ, _HB = _Q.replace("vec_id % 20 = 0", "vec_id % 5 = 0"), _B.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 5 <> 0")
+_HD = f"""{_HQ}, {_HB}, d AS (SELECT q, class, min(d) AS d FROM (SELECT q, class, CAST({_APART} AS FLOAT) AS d FROM q, b) GROUP BY ALL)"""
 
 
-def queries(t):
-    return t.embeddings.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("truth"), F.col("embedding").alias("vec"), (F.col("vec_id") % 3).cast("int").alias("hole"))
+def queries(t, held_out=False):
+    return t.embeddings.filter("vec_id % 5 = 0" if held_out else "vec_id % 20 = 0").select(
+        F.col("vec_id").alias("q"), F.col("label").alias("truth"), F.col("embedding").alias("vec"), (F.col("vec_id") % 3).cast("int").alias("hole"), F.col("vec_id").alias("self")
+    )
 
 
-def bank(t):
-    return t.embeddings.filter("vec_id % 5 <> 0").select(
-        F.col("vec_id").alias("proto_id"), F.col("label").alias("class"), F.col("embedding").alias("vec"), (F.col("vec_id") % 7 + 1).cast("int").alias("holes"), (F.col("vec_id") % 4).cast("int").alias("face")
+def bank(t, held_out=False):
+    return (t.embeddings.filter("vec_id % 5 <> 0") if held_out else t.embeddings).select(
+        F.col("vec_id").alias("proto_id"), F.col("label").alias("class"), F.col("embedding").alias("vec"), (F.col("vec_id") % 7 + 1).cast("int").alias("holes"), (F.col("vec_id") % 4).cast("int").alias("face"), F.col("vec_id").alias("self")
     )
 
 
@@ -34,17 +44,17 @@ def rounded(c):
         SELECT q, class, rank, round(CAST(d AS DOUBLE), 4) AS d, round(CAST(d1 / d2 AS DOUBLE), 4) AS ratio FROM r JOIN s USING (q) WHERE rank <= 3""",
 )
 def _(t):
-    top = mt.top_classes(mt.class_distances(queries(t), bank(t)), 3)
+    top = mt.top_classes(mt.class_distances(queries(t), bank(t), exclude="self"), 3)
     return top.select("q", "class", F.col("rank").cast("long").alias("rank"), rounded("d").alias("d"), rounded(mt.ratio(F.col("d1"), F.col("d2"))).alias("ratio"))
 
 
 @SUITE.query(
     "m02_m05_m10_hole_gate",
-    f"""WITH {_Q}, {_B}, d AS (SELECT q, class, min(d) AS d FROM (SELECT q, class, (holes >> hole) & 1 = 1 AS ok, sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM q, b) WHERE ok GROUP BY ALL)
+    f"""WITH {_Q}, {_B}, d AS (SELECT q, class, min(d) AS d FROM (SELECT q, class, (holes >> hole) & 1 = 1 AS ok, sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM q, b WHERE q <> proto_id) WHERE ok GROUP BY ALL)
         SELECT q, round(min(d), 4) AS d1, count(*) AS classes FROM d GROUP BY q""",
 )
 def _(t):
-    d = mt.class_distances(queries(t), bank(t), gate=True)
+    d = mt.class_distances(queries(t), bank(t), gate=True, exclude="self")
     return d.groupBy("q").agg(rounded(F.min("d")).alias("d1"), F.count("*").alias("classes"))
 
 
@@ -62,30 +72,30 @@ def _measured(t):
 
 @SUITE.query(
     "m08_admits",
-    """WITH g AS (SELECT label AS class, min(embedding[1]) AS lo, max(embedding[1]) AS hi FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY label)
-       SELECT vec_id AS q, count(*) AS classes FROM embeddings, g WHERE vec_id % 5 = 0 AND embedding[1] BETWEEN lo AND hi GROUP BY vec_id""",
+    """WITH g AS (SELECT label AS class, min(embedding[1]) AS lo, max(embedding[1]) AS hi FROM embeddings GROUP BY label)
+       SELECT vec_id AS q, count(*) AS classes FROM embeddings, g WHERE vec_id % 20 = 0 AND embedding[1] BETWEEN lo AND hi GROUP BY vec_id""",
 )
 def _(t):
-    gates = mt.class_gates(_measured(t).filter("q % 5 <> 0"))
-    return mt.admitted(_measured(t).filter("q % 5 = 0").drop("class"), gates, 0.0).groupBy("q").agg(F.count("*").alias("classes"))
+    gates = mt.class_gates(_measured(t))
+    return mt.admitted(_measured(t).filter("q % 20 = 0").drop("class"), gates, 0.0).groupBy("q").agg(F.count("*").alias("classes"))
 
 
 @SUITE.query(
     "m19_held_out_confusion",
-    f"WITH {_D}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, class) AS k FROM d) SELECT truth, class, count(*) AS n FROM r JOIN q USING (q) WHERE k = 1 GROUP BY ALL",
+    f"WITH {_HD}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, class) AS k FROM d) SELECT truth, class, count(*) AS n FROM r JOIN q USING (q) WHERE k = 1 GROUP BY ALL",
 )
 def _(t):
-    best = mt.top_classes(mt.class_distances(queries(t), bank(t)), 1)
-    return mt.confusion(best.join(queries(t).select("q", "truth"), "q"), "truth", "class")
+    best = mt.top_classes(mt.class_distances(queries(t, True), bank(t, True)), 1)
+    return mt.confusion(best.join(queries(t, True).select("q", "truth"), "q"), "truth", "class")
 
 
-_FACE = f"""{_Q}, {_B}, f AS (SELECT q, face, min((d, class)) AS m FROM (SELECT q, face, class, CAST(sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS FLOAT) AS d FROM q, b) GROUP BY ALL)"""
+_FACE = f"""{_Q}, {_B}, f AS (SELECT q, face, min((d, class)) AS m FROM (SELECT q, face, class, CAST(sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS FLOAT) AS d FROM q, b WHERE q <> proto_id) GROUP BY ALL)"""
 
 
 def face_best(t):
     """Best class per query and face by squared distance, over one search of (face, class) pairs."""
     paired = bank(t).withColumn("class", F.col("face") * 1000 + F.col("class"))
-    d = mt.class_distances(queries(t), paired).withColumns({"face": F.floor(F.col("class") / 1000).cast("int"), "class": F.col("class") % 1000})
+    d = mt.class_distances(queries(t), paired, exclude="self").withColumns({"face": F.floor(F.col("class") / 1000).cast("int"), "class": F.col("class") % 1000})
     return d.groupBy("q", "face").agg(F.min(F.struct("d", "class")).alias("m")).select("q", "face", "m.d", "m.class")
 
 
@@ -105,15 +115,15 @@ def _(t):
 
 @SUITE.query(
     "m20_leave_one_face_out",
-    f"""WITH {_Q}, {_B}, d AS (SELECT q, gone, class, truth, min(CAST(sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS FLOAT)) AS d
+    f"""WITH {_HQ}, {_HB}, d AS (SELECT q, gone, class, truth, min(CAST(sqrt(list_sum(list_transform(list_zip(q.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS FLOAT)) AS d
             FROM q, b, (SELECT unnest(range(4)) AS gone) WHERE face <> gone GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q, gone ORDER BY d, class) AS k FROM d)
         SELECT CAST(gone AS INT) AS gone, avg(CAST(class = truth AS DOUBLE)) AS accuracy, count(*) AS n FROM r WHERE k = 1 GROUP BY gone""",
 )
 def _(t):
     runs = None
     for gone in range(4):  # one pass per face of the model, a fixed few
-        best = mt.top_classes(mt.class_distances(queries(t), bank(t).filter(F.col("face") != gone)), 1)
-        part = best.join(queries(t).select("q", "truth"), "q").agg(F.lit(gone).alias("gone"), F.avg((F.col("class") == F.col("truth")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+        best = mt.top_classes(mt.class_distances(queries(t, True), bank(t, True).filter(F.col("face") != gone)), 1)
+        part = best.join(queries(t, True).select("q", "truth"), "q").agg(F.lit(gone).alias("gone"), F.avg((F.col("class") == F.col("truth")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
         runs = part if runs is None else runs.union(part)
     return runs
 
@@ -143,8 +153,8 @@ def _(t):
 @SUITE.query("m18_quantised_agreement")
 def _(t):
     back = _quantised(t).filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("proto_id"), F.col("label").alias("class"), F.col("back").alias("vec"))
-    a = mt.top_classes(mt.class_distances(queries(t), bank(t)), 1).select("q", "class")
-    b = mt.top_classes(mt.class_distances(queries(t), back), 1).select("q", F.col("class").alias("other"))
+    a = mt.top_classes(mt.class_distances(queries(t, True), bank(t, True)), 1).select("q", "class")
+    b = mt.top_classes(mt.class_distances(queries(t, True), back), 1).select("q", F.col("class").alias("other"))
     return a.join(b, "q").agg(F.count("*").alias("n"), F.avg((F.col("class") == F.col("other")).cast("double")).alias("agreement"))
 
 
@@ -181,14 +191,14 @@ def _(t):
 
 @SUITE.query(
     "r35_r36_restricted_accuracy",
-    f"""WITH {_Q}, {_B}, d AS (SELECT q, truth, w, class, min(CAST(sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.vec[i] - b.vec[i]) * (q.vec[i] - b.vec[i]) * CASE WHEN i <= 32 THEN w ELSE 1.0 END))) AS FLOAT)) AS d
-            FROM q, b, (SELECT unnest([0.5, 2.0])::DOUBLE AS w) WHERE class < 5 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q, w ORDER BY d, class) AS k FROM d)
+    f"""WITH {_HQ}, {_HB}, d AS (SELECT q, truth, w, class, min(CAST(sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.vec[i] - b.vec[i]) * (q.vec[i] - b.vec[i]) * CASE WHEN i <= 32 THEN w ELSE 1.0 END))) AS FLOAT)) AS d
+            FROM q, b, (SELECT unnest([0.5, 2.0])::DOUBLE AS w) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY q, w ORDER BY d, class) AS k FROM d)
         SELECT w, avg(CAST(class = truth AS DOUBLE)) AS accuracy FROM r WHERE k = 1 GROUP BY w""",
 )
 def _(t):
     out = None
     for w in (0.5, 2.0):
-        best = mt.top_classes(mt.class_distances(queries(t), bank(t).filter("class < 5"), [w] * 32 + [1.0] * 32), 1)
-        part = best.join(queries(t).select("q", "truth"), "q").agg(F.lit(w).alias("w"), F.avg((F.col("class") == F.col("truth")).cast("double")).alias("accuracy"))
+        best = mt.top_classes(mt.class_distances(queries(t, True), bank(t, True), [w] * 32 + [1.0] * 32), 1)
+        part = best.join(queries(t, True).select("q", "truth"), "q").agg(F.lit(w).alias("w"), F.avg((F.col("class") == F.col("truth")).cast("double")).alias("accuracy"))
         out = part if out is None else out.union(part)
     return out

@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from quillspark.storage import discard_all
+
+    discard_all(session)
     session.stop()
