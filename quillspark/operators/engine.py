@@ -7,7 +7,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import confidence, matching
+from quillspark.operators import confidence, features, matching
+from quillspark.operators.pages import page_glyphs
+
+#: Fixed value: a knob that isn't a setting.
+GEOMETRY_WEIGHT = "match.geometry_weight"
+GEOMETRY = features.DIMS - features.BLOCKS["geometry"][0]
 
 #: Settings and defaults; a name that isn't here is refused.
 DEFAULTS = {"match.top_k": 3.0, "confidence.lm_floor": 0.8, "route.matcher_margin": 0.7, "route.net_prob": 0.7, "decode.beam_width": 14.0, "match.classifier": 0.0}
@@ -52,6 +57,30 @@ class Engine:
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q", "class"))), lambda x: x["class"]), "")
         return chars.groupBy("page", "line", "word").agg(text.alias("text"), confidence.geometric_mean(F.coalesce("conf", F.lit(0.0))).alias("conf"), F.count("*").alias("chars"))
 
+    def set_knob(self, name: str, value: float) -> bool:
+        """Move one knob by name, as a command line does; False for one that is unknown or refused.
+
+        ``match.geometry_weight`` isn't a setting: it weights the geometry block of the feature vector, the rest by one.
+        """
+        try:
+            if name == GEOMETRY_WEIGHT:
+                self.set_feature_weights([1.0] * (features.DIMS - GEOMETRY) + [float(value)] * GEOMETRY)
+            else:
+                self.set_param(name, value)
+        except (KeyError, ValueError):
+            return False
+        return True
+
+    def recognize_bytes(self, pages: DataFrame) -> DataFrame:
+        """Words of ``pages(page, width, height, pixels)``: ``page, line, word, text, conf, chars`` and the word's box.
+
+        The bank holds vectors of ``features.extract``. Pages without ink have no rows.
+        """
+        found = page_glyphs(pages)
+        vectors = found.select("page", "line", "word", "q", features.extract(found, "ink", F.col("x1") - F.col("x0"), "baseline", "x_height").alias("vec"))
+        box = found.groupBy("page", "line", "word").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        return self.recognize(vectors).join(box, ["page", "line", "word"])
+
     def recognize_lines(self, glyphs: DataFrame) -> DataFrame:
         """One row per line with its words nested in order."""
         words = self.recognize(glyphs)

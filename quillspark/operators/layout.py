@@ -5,6 +5,8 @@ Boxes are rows ``(page, [line,] pos, x0, x1, ...)``; a page or line is the parti
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -193,23 +195,30 @@ def visual_rows(boxes: DataFrame, page: str) -> DataFrame:
     return boxes.groupBy(page).applyInPandas(fold, f"{page} {dict(boxes.dtypes)[page]}, id long, row int")
 
 
+def absorb(band: dict, x0: float, y0: float, x1: float, y1: float) -> None:
+    """Take a box into a band: its heights stay sorted, for a running median, and its extent grows."""
+    insort(band["heights"], y1 - y0)
+    band.update(x0=min(band["x0"], x0), y0=min(band["y0"], y0), x1=max(band["x1"], x1), y1=max(band["y1"], y1))
+
+
 def best_bands(boxes: DataFrame, page: str, share: float = 0.5) -> DataFrame:
     """Greedy bands: boxes, tallest first, join the band they overlap most, or open one."""
 
     def assign(frame):
         frame = frame.assign(h=frame["y1"] - frame["y0"]).sort_values(["h", "id"], ascending=[False, True], kind="stable")
-        bands: list[list[float]] = []
+        bands: list[dict] = []
         out = []
-        for y0, y1 in zip(frame["y0"], frame["y1"]):
+        for x0, y0, x1, y1 in zip(frame["x0"], frame["y0"], frame["x1"], frame["y1"]):
             best, at = 0.0, -1
-            for k, (b0, b1) in enumerate(bands):
+            for k, band in enumerate(bands):
+                b0, b1 = band["y0"], band["y1"]
                 ratio = max(min(y1, b1) - max(y0, b0), 0) / max(min(y1 - y0, b1 - b0), 1e-9)
                 if ratio > best:
                     best, at = ratio, k
             if best >= share:
-                bands[at] = [min(bands[at][0], y0), max(bands[at][1], y1)]
+                absorb(bands[at], x0, y0, x1, y1)
             else:
-                bands.append([y0, y1])
+                bands.append({"heights": [y1 - y0], "x0": x0, "y0": y0, "x1": x1, "y1": y1})
                 at = len(bands) - 1
             out.append(at)
         return frame[[page, "id"]].assign(band=out)

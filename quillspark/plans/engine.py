@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import features
 from quillspark.operators.engine import Engine
+from quillspark.operators.pages import typeset
 from quillspark.plans.base import Suite
 
 SUITE = Suite()
@@ -63,3 +65,33 @@ def _(t):
     read = engine(t).probe(glyphs(t)).filter("rank = 1").select("q", "class")
     text = F.when(F.col("boxed"), F.coalesce("class", F.lit("?"))).otherwise(F.col("ch"))
     return truth.join(read, "q", "left").select("q", text.alias("text"), (F.col("boxed") & (F.col("class") != F.col("ch"))).alias("wrong"))
+
+
+def face():
+    """A made-up face: characters of 12 x 12, a frame around 8 x 8 bits that differ from one to the other."""
+    import numpy as np
+
+    glyphs = {}
+    for k, ch in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"):
+        ink = np.ones((12, 12), np.uint8)
+        ink[2:10, 2:10] = np.random.default_rng(k).random((4, 4)).repeat(2, 0).repeat(2, 1) < 0.5
+        glyphs[ch] = ink
+    return glyphs
+
+
+def face_bank(t):
+    rows = [(k, ch, [int(v) for v in ink.ravel()], 12.0) for k, (ch, ink) in enumerate(face().items())]
+    glyphs = t.spark.createDataFrame(rows, "proto_id int, class string, ink array<int>, size double")
+    return glyphs.select("proto_id", "class", features.extract(glyphs, "ink", F.col("size"), "size", "size").alias("vec"))
+
+
+@SUITE.query(
+    "a04_x01_x12_p31_recognize_bytes",
+    """WITH l AS (SELECT n_regionkey AS page, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS line, [n_name, reverse(n_name)] AS w FROM nation)
+       SELECT page, CAST(line AS INT) AS line, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS word, unnest(w) AS text FROM l""",
+)
+def _(t):
+    """Names, forward and backward, set as pages of pixels, and read back from the bytes."""
+    lines = t.nation.select(F.col("n_regionkey").alias("page"), F.col("n_nationkey").alias("line"), F.concat_ws(" ", "n_name", F.reverse("n_name")).alias("text"))
+    pages = typeset(lines, face())
+    return Engine(face_bank(t)).recognize_bytes(pages).select("page", "line", F.col("word").cast("long").alias("word"), "text")

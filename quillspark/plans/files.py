@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.plans.base import Suite
 from quillspark.plans.layout import boxes
+from quillspark.sources import fixtures as fx
 from quillspark.sources import readers as rd
 from quillspark.sources import writers as wr
 from quillspark.storage import scratch_path
@@ -68,15 +69,64 @@ def _(t):
     return rd.read_tsv(t.spark, path, "row long, quality int, toxic int")
 
 
-@SUITE.query("s04_k14_truth_json", "SELECT source AS stem, 'f' AS family, 0.0::DOUBLE AS px_per_em, count(*) AS lines FROM documents GROUP BY source")
+@SUITE.query(
+    "s04_k14_truth_json",
+    "SELECT doc_id, lang AS family, 0.0::DOUBLE AS px_per_em, len(string_split(text, chr(10))) AS lines, md5(text) AS digest, least(length(text), 3) AS glyphs, left(text, 1) AS first, 20 * least(length(text), 3) AS x_sum FROM documents WHERE text <> ''",
+)
 def _(t):
-    """Truth JSON with a scalar missing, which gets its default."""
+    """A truth record for each document, with lines and its first three characters as glyphs; a scalar is missing and gets its default."""
     path = scratch_path(t.spark, "truth")
-    glyphs = F.from_json(F.lit("[]"), "array<struct<ch string, line int, x int, y int, w int, h int, baseline double, x_height double>>")
-    rows = t.documents.groupBy("source").agg(F.collect_list(F.lit("x")).alias("lines")).select(F.lit("f").alias("family"), "lines", glyphs.alias("glyphs"), "source")
-    rows.write.json(path)
-    back = t.spark.read.schema(rd.TRUTH + ", source string").option("mode", "FAILFAST").json(path)
-    return back.select(F.col("source").alias("stem"), "family", F.coalesce("px_per_em", F.lit(0.0)).alias("px_per_em"), F.size("lines").cast("long").alias("lines"))
+    at = F.sequence(F.lit(1), F.least(F.length("text"), F.lit(3)))
+    box = [F.lit(v).alias(k) for k, v in (("line", 0), ("x", 20), ("y", 2), ("w", 8), ("h", 9), ("baseline", 11.0), ("x_height", 7.0))]
+    glyphs = F.transform(at, lambda i: F.struct(F.substr("text", i, F.lit(1)).alias("ch"), *box))
+    t.documents.filter("text <> ''").select(F.col("lang").alias("family"), F.split("text", "\n").alias("lines"), glyphs.alias("glyphs"), "doc_id").write.json(path)
+    back = t.spark.read.schema(rd.TRUTH + ", doc_id long").option("mode", "FAILFAST").json(path)
+    return back.select(
+        "doc_id", "family", F.coalesce("px_per_em", F.lit(0.0)).alias("px_per_em"), F.size("lines").cast("long").alias("lines"), F.md5(F.array_join("lines", "\n")).alias("digest"),
+        F.size("glyphs").cast("long").alias("glyphs"), F.get("glyphs.ch", F.lit(0)).alias("first"), F.aggregate("glyphs.x", F.lit(0), lambda a, x: a + x).cast("long").alias("x_sum"),
+    )
+
+
+@SUITE.query("s08_golden_vectors", "SELECT CAST(vec_id AS VARCHAR) AS stem, 'feature' AS stage, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS values FROM embeddings")
+def _(t):
+    """Vectors written as golden JSON and parsed: bit by bit the same floats."""
+    texts = t.embeddings.select(F.col("vec_id").cast("string").alias("stem"), wr.feature_json(F.col("vec_id").cast("string"), F.col("embedding")).alias("value"))
+    return fx.parse_golden(texts).select("stem", "stage", F.col("values").cast("array<double>").alias("values"))
+
+
+@SUITE.query("s09_lattices", "SELECT p_partkey, CAST(i AS INT) AS src, ch, CASE WHEN k = 0 THEN 1.0 ELSE 1.5 END AS d FROM (SELECT p_partkey, unnest(range(0, length(p_brand))) AS i, p_brand FROM part), (VALUES (0), (1)) k(k), LATERAL (SELECT CASE WHEN k = 0 THEN p_brand[i + 1] ELSE '?' END AS ch)")
+def _(t):
+    """A lattice for each part, of its brand's characters with a rival each, written as JSON and parsed into edges."""
+    pair = lambda ch, d: F.concat(F.lit("["), F.to_json(F.array(ch)).substr(F.lit(2), F.length(F.to_json(F.array(ch))) - 2), F.lit(f", {d}]"))
+    positions = F.transform(F.split("p_brand", ""), lambda ch: F.concat(F.lit("["), pair(ch, 1.0), F.lit(", "), pair(F.lit("?"), 1.5), F.lit("]")))
+    texts = t.part.select(F.col("p_partkey").cast("string").alias("stem"), F.concat(F.lit('{"why": "a test", "positions": ['), F.array_join(positions, ", "), F.lit("]}")).alias("value"))
+    return fx.lattice_edges(fx.parse_lattice(texts)).select(F.col("word").cast(t.part.schema["p_partkey"].dataType).alias("p_partkey"), "src", "ch", "d")
+
+
+@SUITE.query(
+    "k04_expectation",
+    r"""SELECT doc_id, '{' || chr(10) || '  "fixture": ' || to_json(source) || ',' || chr(10) || '  "stage": "decode",' || chr(10) || '  "text": ' || to_json(left(text, 40)) || ',' || chr(10) || '  "identifier": ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || ',' || chr(10)
+        || '  "score": "' || CAST(doc_id AS VARCHAR) || '.5"' || chr(10) || '}' || chr(10) AS json FROM documents""",
+)
+def _(t):
+    return t.documents.select("doc_id", fx.expectation_json(F.col("source"), F.substring("text", 1, 40), F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(".5"))).alias("json"))
+
+
+@SUITE.query("s14_score_rows", "SELECT source AS shard, doc_id AS row FROM documents")
+def _(t):
+    path = scratch_path(t.spark, "score-rows")
+    lines = wr.manifest_lines(t.documents, ["source", "doc_id"])
+    lines.union(t.spark.createDataFrame([("# shard row",)], "value string")).write.text(path)
+    return fx.read_score_rows(t.spark, path)
+
+
+@SUITE.query("s17_charset", "SELECT CAST(n AS INT) AS index, chr(CAST(65 + n AS INT)) AS ch, CASE WHEN n % 2 = 0 THEN CAST(n + 1 AS INT) END AS case_twin FROM (SELECT n_nationkey AS n FROM nation)")
+def _(t):
+    path = scratch_path(t.spark, "charset")
+    n = F.col("n_nationkey")
+    rows = t.nation.select(n.alias("a"), F.format_string("U+%04X", n + 65).alias("b"), F.lit("x").alias("c"), F.lit("letter").alias("d"), F.lit("ascender").alias("e"), F.lit(0.1).alias("f"), F.lit(0.9).alias("g"), F.lit("measured").alias("h"), F.when(n % 2 == 0, n + 1).otherwise(-1).alias("i"), F.lit("-").alias("j"))
+    wr.manifest_lines(rows, list("abcdefghij")).write.text(path)
+    return fx.read_charset(t.spark, path).select("index", "ch", "case_twin")
 
 
 @SUITE.query(

@@ -237,3 +237,72 @@ def test_overlap_clusters_equal_all_pairs(spark):
                     if len(sets[a] & sets[b]) >= threshold * min(len(sets[a]), len(sets[b])):
                         label[a] = label[b] = min(label[a], label[b])
         assert got == label
+
+
+def test_pages_are_read_from_files_with_truth_beside(spark, tmp_path):
+    import json
+
+    from quillspark.sources import fixtures, writers
+
+    for i, stem in enumerate(["a", "b"]):
+        (tmp_path / f"{stem}.pgm").write_bytes(b"P5\n# made\n3 2\n255\n" + bytes(range(i, i + 6)))
+        (tmp_path / f"{stem}.json").write_text(json.dumps({"family": stem, "lines": ["x y"], "glyphs": []}, indent=1))
+    pages = {r.stem: r for r in fixtures.pages_with_truth(spark, str(tmp_path)).collect()}
+    assert (pages["b"].w, pages["b"].h, bytes(pages["b"].pixels), pages["b"].lines, pages["b"].px_per_em) == (3, 2, bytes(range(1, 7)), ["x y"], 0.0)
+    (tmp_path / "c.pgm").write_bytes(b"P5\n1 1\n255\n\0")
+    with pytest.raises(Exception, match="no truth beside c"):
+        fixtures.pages_with_truth(spark, str(tmp_path)).collect()
+    found = fixtures.discover_fixtures(spark, {"page": (str(tmp_path), ".pgm"), "truth": (str(tmp_path), ".json")})
+    assert {r.stem: (r.page, r.truth) for r in found.collect()} == {"a": (True, True), "b": (True, True), "c": (True, False)}
+    assert [tuple(r) for r in fixtures.missing_members(found).collect()] == [("c", "truth")]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        fixtures.read_pages(spark, str(tmp_path / "empty"))
+    (tmp_path / "short").mkdir()
+    (tmp_path / "short" / "d.pgm").write_bytes(b"P5\n2 2\n255\nabc")
+    with pytest.raises(Exception, match="not a P5 graymap: d"):
+        fixtures.read_pages(spark, str(tmp_path / "short")).collect()
+    assert fixtures.assert_train_dir("/x/pages-train/") == "/x/pages-train/"
+    with pytest.raises(ValueError):
+        fixtures.assert_train_dir("/x/pages-score")
+    golden = spark.createDataFrame([("g", '{"fixture": "g", "stage": "feature", "dims": 2, "values": [1.5]}')], "stem string, value string")
+    with pytest.raises(Exception, match="not a golden vector: g"):
+        fixtures.parse_golden(golden).collect()
+    bad = ['{"positions": [[["a", 1]]]}', '{"why": "w", "positions": []}', '{"why": "w", "positions": [[]]}', '{"why": "w", "positions": [[["ab", 1]]]}', '{"why": "w", "positions": [[["a", "x"]]]}']
+    for text in bad:
+        with pytest.raises(Exception, match="not a lattice: f"):
+            fixtures.parse_lattice(spark.createDataFrame([("f", text)], "stem string, value string")).collect()
+    row = fixtures.parse_lattice(spark.createDataFrame([("f", '{"why": "w", "params": {"decode.beam_width": 2}, "positions": [[["a", 1], ["b", 0.5]]]}')], "stem string, value string")).first()
+    assert row.params == {"decode.beam_width": 2.0} and [(c.ch, c.distance) for c in row.positions[0]] == [("a", 1.0), ("b", 0.5)]
+    text = spark.createDataFrame([("f", 'q"\\/ü', True, "1.50")], "a string, b string, c boolean, d string").select(fixtures.expectation_json(*map(F.col, "abcd")).alias("j")).first().j
+    assert json.loads(text) == {"fixture": "f", "stage": "decode", "text": 'q"\\/ü', "identifier": True, "score": "1.50"}
+    charset = tmp_path / "charset.tsv"
+    charset.write_text("#head\n0\tU+0041\tA\tl\ta\t0\t1\tm\t-1\t-\n2\tU+0042\tB\tl\ta\t0\t1\tm\t-1\t-\n")
+    with pytest.raises(ValueError, match="out of sequence"):
+        fixtures.read_charset(spark, str(charset))
+
+
+def test_recognition_from_bytes(spark):
+    from quillspark.operators.pages import typeset
+    from quillspark.plans.engine import face, face_bank
+
+    class Session:
+        pass
+
+    Session.spark = spark
+    lines = [(1, 0, "HELLO WORLD"), (1, 1, "A 1"), (2, 0, ""), (3, 0, None), (4, 0, "_Z_")]
+    pages = typeset(spark.createDataFrame(lines, "page int, line int, text string"), face())
+    e = Engine(face_bank(Session))
+    words = sorted((r.page, r.line, r.word, r.text, r.x0, r.y0, r.x1, r.y1) for r in e.recognize_bytes(pages).collect())
+    truth = {r.page: r.glyphs for r in pages.collect()}
+    expected = []
+    for page, line, text in lines:
+        glyphs, at = [g for g in truth[page] if g.line == line], 0
+        for n, word in enumerate((text or "").split()):
+            own, at = glyphs[at : at + len(word)], at + len(word)
+            expected.append((page, line, n, word, own[0].x, own[0].y, own[-1].x + own[-1].w, own[-1].y + own[-1].h))
+    assert words == expected
+    with pytest.raises(Exception, match="5 pixels, not 2 x 3"):
+        e.recognize_bytes(spark.createDataFrame([(1, 2, 3, bytearray(5))], "page int, width int, height int, pixels binary")).collect()
+    assert e.set_knob("match.geometry_weight", 0.5) and e.weights == [1.0] * 103 + [0.5] * 4
+    assert e.set_knob("match.top_k", 1.0) and not e.set_knob("no.such", 1.0) and not e.set_knob("match.geometry_weight", float("nan"))
