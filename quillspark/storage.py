@@ -37,10 +37,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
+def materialise(df: DataFrame, label: str, block_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it.
+
+    ``block_bytes`` is the size of a row group, for tables of few large rows: a scan holds one of them at a time.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
