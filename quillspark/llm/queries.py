@@ -50,7 +50,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,12 @@ ORACLE_SQL = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN items ON doc.doc_id = items.doc_id
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d, coalesce(html, '') AS h FROM pages),
+             last AS (SELECT h, max(page_id) AS page_id FROM p WHERE n >= 1000 GROUP BY h)
+        SELECT p.page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN last.page_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, nullif(last.page_id, p.page_id) AS refers_to
+        FROM p LEFT JOIN last ON p.h = last.h
+    """,
     "op6_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
