@@ -14,6 +14,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[*]")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
