@@ -27,6 +27,8 @@ _OTHER = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]")
 SLICE = 1 << 20
 #: Positions between two documents of a segment.
 GAP = 1_000
+#: Bytes of segments that a scan holds at once.
+BLOCK = 16 << 20
 #: Candidate places of windows that are held at once.
 PLACES = 1 << 19
 SEGMENTS = (
@@ -175,7 +177,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield segment(held)
 
-    return materialise(inputs.mapInArrow(index, SEGMENTS), "postings")
+    return materialise(inputs.mapInArrow(index, SEGMENTS), "postings", BLOCK)
 
 
 def _starts(lengths):
