@@ -2,17 +2,22 @@
 
 Groups (rows with an equal key) are ordered by a 64-bit key and never split. The smallest
 capacity for which a greedy left-to-right filling needs no more than the given shards is found
-by binary search, and the order is cut where that filling cuts.
+by binary search. Cutting where that filling cuts would leave all slack to the last shards, so a cut is
+put as near to an equal share of what remains as that capacity allows.
 
 The driver never sees the groups. It holds sums over ranges of the key; a greedy check over
 ranges that hold several groups gives a bound from both sides, and only where the two
 disagree are the ranges that a cut falls into divided further, 256-fold, by one aggregation
 over the stored group sizes. What the driver holds is bounded by shards x 256 x key bytes.
+For an equal share's sake, a range of under a thousandth of the share isn't divided.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from heapq import nlargest
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,17 +116,50 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             continue
         ranges = _divide(ranges, unsure, summed)
     while True:
-        needed, unsure = _fill(ranges, low, optimistic=True)
-        if not unsure:
+        starts, coarse = _even_starts(ranges, low, shards)
+        if not coarse:
+            return low, [ranges[i].low for i in starts if i < len(ranges)]
+        ranges = _divide(ranges, sorted(coarse), summed)
+
+
+def _share(ranges: list[KeyRange], shards: int) -> float:
+    """What a shard would hold of ``ranges`` if each group larger than that had a shard to itself."""
+    total = sum(r.size for r in ranges)
+    for size in nlargest(shards - 1, (r.largest for r in ranges)):
+        if size * shards <= total:
             break
-        ranges = _divide(ranges, unsure, summed)
-    cuts, room = [], low
-    for r in ranges:
-        if r.size > room:
-            cuts.append(r.low)
-            room = low
-        room -= r.size
-    return low, cuts
+        total, shards = total - size, shards - 1
+    return total / shards
+
+
+def _even_starts(ranges: list[KeyRange], capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """First range of each shard but the first, or else the ranges that are too coarse to cut.
+
+    ``earliest[j]`` is the least start of shard j from which it and those after it hold the rest. From
+    there or later, a shard reaches the earliest start of the next, so any choice leaves one to make.
+    No shard is empty while ranges are left.
+    """
+    n, ends = len(ranges), [0, *accumulate(r.size for r in ranges)]
+    earliest, coarse = [n] * (shards + 1), set()
+    for j in range(shards - 1, 0, -1):
+        bound = ends[earliest[j + 1]] - capacity
+        earliest[j] = bisect_left(ends, bound) if bound > 0 else 0
+        if ends[earliest[j]] > bound > 0 and not ranges[earliest[j] - 1].atomic:
+            coarse.add(earliest[j] - 1)
+    if coarse:
+        return [], coarse
+    starts, at = [], 0
+    for j in range(1, shards):
+        share = _share(ranges[at:], shards - j + 1)
+        aim = ends[at] + share
+        last = bisect_right(ends, ends[at] + capacity) - 1
+        over = min(bisect_left(ends, aim), n)
+        if over > at and ends[over] > aim and not ranges[over - 1].atomic and ranges[over - 1].size * 1000 > share:
+            coarse.add(over - 1)
+        near = over - 1 if over and aim - ends[over - 1] < ends[over] - aim else over
+        at = min(max(near, earliest[j], at + 1), last)
+        starts.append(at)
+    return starts, coarse
 
 
 def _divide(ranges: list[KeyRange], unsure: list[int], summed) -> list[KeyRange]:
@@ -136,7 +174,7 @@ def _divide(ranges: list[KeyRange], unsure: list[int], summed) -> list[KeyRange]
 def shard_documents(
     docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slot_rows: int = 100_000
 ) -> DataFrame:
-    """Put every row into a shard so that the largest shard is as small as contiguous cuts allow.
+    """Put every row into a shard so that the largest shard is as small as contiguous cuts allow, and the others near equal.
 
     Returns ``doc_id, size, text_crc32, shard, slot``. Equal texts (all null texts are one)
     stay together. ``size`` is the UTF-8 length plus one; a null text has size 1 and the

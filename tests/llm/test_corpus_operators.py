@@ -125,6 +125,37 @@ def test_sharding_is_minimax(spark):
     assert sharding.shard_documents(docs(spark, []), 5).count() == 0
 
 
+def test_shards_are_near_equal(spark):
+    rng = random.Random(3)
+    for hot in (0, 40_000):
+        sizes = [rng.randint(1, 60) for _ in range(3000)] + [hot] * (hot > 0)
+        keys = [rng.getrandbits(64) - 2**63 for _ in sizes]
+        groups = spark.createDataFrame(list(zip(keys, sizes)), "key long, size long")
+        capacity, cuts = sharding.minimax_cuts(groups, 16)
+        ordered = sorted((k % 2**64, s) for k, s in zip(keys, sizes))
+        assert capacity == best_capacity([s for _, s in ordered], 16) and len(cuts) == 15
+        loads = [0] * 16
+        for k, s in ordered:
+            loads[sum(k >= c for c in cuts)] += s
+        assert max(loads) <= capacity
+        rest = sorted(loads)[: 15 if hot else 16]
+        mean = sum(rest) / len(rest)
+        assert sum(abs(x - mean) <= 60 for x in rest) >= len(rest) - (2 if hot else 0)
+        assert hot == 0 or hot in loads
+
+
+def test_starts_hold_the_capacity():
+    rng = random.Random(5)
+    for _ in range(500):
+        sizes = [rng.choice((1, 2, 5, 40)) for _ in range(rng.randint(1, 40))]
+        shards = rng.randint(1, 9)
+        capacity = best_capacity(sizes, shards)
+        starts, coarse = sharding._even_starts([sharding.KeyRange(64, i, s, 1, s) for i, s in enumerate(sizes)], capacity, shards)
+        edges = [0, *starts, len(sizes)]
+        assert not coarse and edges == sorted(edges) and len(starts) == shards - 1
+        assert max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:])) == capacity
+
+
 def plain_fingerprint(text):
     """A fingerprint bit by bit, from the contract's own words."""
     import xxhash
