@@ -6,7 +6,7 @@ shallow tree on the current residuals, whose leaves are added into the feature's
 the pairs that the residuals favour get two-way trees in the same manner. Scoring bins the features
 and adds table entries, whole batches at a time.
 
-Labels come from at most ``max_rows`` labelled rows outside the held-out fold, those with the least
+Labels come from at most ``max_rows`` labelled documents outside the held-out fold, those with the least
 hash of the id: that bounds the driver's share. All documents are read, measured and scored.
 """
 
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillspark.storage import materialise
 
@@ -238,59 +239,79 @@ def fit_additive(x, y, rounds: int = 120, rate: float = 0.1, bins: int = 48, lea
     return model
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, mix, features``, stored; ``mix`` is the text's hash."""
-
-    def measured(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = np.array([measure(t.as_py()) for t in batch.column("text")], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mix"), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["doc_id", "mix", "features"])
+def _rows(texts):
+    """The features of a column of texts, a row for each."""
+    import numpy as np
 
-    inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mix"), F.col(text_col).alias("text"))
-    return materialise(inputs.mapInArrow(measured, "doc_id long, mix long, features array<double>"), "features")
+    return np.array([measure(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))
 
 
 def _fold(id_column):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(measured: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 30_000) -> AdditiveModel:
-    """Fit on labelled rows outside fold 0. Several labels of a document count as their mean, cut at 0.5."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 30_000, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
+    """Fit on labelled documents outside fold 0. Several labels of a document count as their mean, cut at 0.5.
+
+    Only ids are read to choose the documents, and only the chosen ones are measured. Of rows with equal ids, that with the
+    least hash of its text is taken (a null text before all others).
+    """
     import numpy as np
 
-    one = labels.groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("label")).filter("label is not null and doc_id is not null")
-    rows = (
-        measured.join(one.filter(_fold(F.col("doc_id")) != 0), "doc_id")
-        .orderBy(F.xxhash64("doc_id", "mix"), "doc_id")
-        .limit(max_rows)
-        .select("features", "label")
-        .collect()
-    )
+    one = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label")).filter("label is not null and id is not null")
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    labelled = ids.join(one.filter(_fold(F.col("id")) != 0), "id").distinct()
+    chosen = materialise(labelled.orderBy(F.xxhash64("id"), "id").limit(max_rows), "training-ids")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # at most max_rows ids are broadcast
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("text", F.struct(F.col("text").isNotNull(), F.xxhash64("text"))).alias("text"), F.first("label").alias("label"))
+
+    def measured(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(_rows(batch.column("text")).tolist(), pa.list_(pa.float64()))], names=["id", "label", "features"])
+
+    rows = found.select("id", "label", "text").mapInArrow(measured, "id long, label int, features array<double>").collect()
+    rows.sort(key=lambda r: r.id)
     x = np.array([r.features for r in rows], float).reshape(-1, len(FEATURES))
     return fit_additive(x, np.array([r.label for r in rows], float))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 30_000, threshold: float = 0.3) -> DataFrame:
-    """One row per document row: ``doc_id, held_out, score, predicted`` and ``mix``, the text's hash.
+def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 30_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row, stored: ``doc_id, held_out, score, predicted``.
 
     Empty and null texts are scored like any other; a null id counts as the empty string in
     the fold and has no label; repeated rows get a row each; without usable labels every score is 0.5.
     """
-    measured = features(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(train(measured, labels, label_col, max_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, max_rows, id_col, text_col))
 
     def scored(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mix"), pa.array(np.asarray(shared.value.score(x)))], names=["doc_id", "mix", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.asarray(shared.value.score(_rows(batch.column("text")))))], names=["doc_id", "score"])
+
+    inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scores = materialise(inputs.mapInArrow(scored, "doc_id long, score double"), "scores")
+    return scores.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 30_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with all their columns, in one pass without a shuffle.
+
+    Rows are scored as in ``score_documents``; repeated rows stay or go together; an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, max_rows, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(_rows(batch.column("row").field(at))) >= threshold))
 
-    return measured.mapInArrow(scored, "doc_id long, mix long, score double").select(
-        "doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mix"
-    )
+    # the row travels as one column, so that no column of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(kept, StructType([StructField("row", docs.schema)])).select("row.*")

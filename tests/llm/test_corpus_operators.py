@@ -615,3 +615,62 @@ def test_quality_learns_and_holds_out(spark):
     assert sum(r.predicted == int(r.doc_id % 3 != 0) for r in held) >= 0.95 * len(held)
     empty = quality.score_documents(docs(spark, rows), labels.limit(0)).collect()
     assert {r.score for r in empty} == {0.5}
+
+
+def test_quality_keeps_rows_by_their_score(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(60)]
+        rows.append((" ".join(w + "###" if i % 2 else w for w in words), i, "r", "s"))
+    rows += [("", 200, None, "s"), (None, 201, "r", None), (rows[4][0], None, "r", "s"), rows[4], rows[5]]
+    frame = spark.createDataFrame(rows, "text string, doc_id long, row string, score string").repartition(3)
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(120)] + [(3, None), (None, 1), (4, 1)], "doc_id long, quality int")
+    scores = {(r.doc_id, r.text is None): r.predicted for r in quality.score_documents(frame, labels).join(frame.select(F.col("doc_id").alias("i"), "text"), F.expr("doc_id <=> i")).collect()}
+    kept = quality.keep_documents(frame, labels)
+    assert kept.columns == frame.columns
+    want = [r for r in rows if scores[r[1], r[0] is None]]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr) and 0 < len(want) < len(rows)
+    assert quality.keep_documents(frame.limit(0), labels).count() == 0
+    assert quality.keep_documents(frame, labels.limit(0)).count() == len(rows)  # each score is 0.5
+
+
+def test_quality_sample_is_bounded_and_blind_to_copies(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_additive", lambda x, y: seen.append((x, y)))
+    rows = [(i, "word " * (i + 1)) for i in range(50)] * 3 + [(7, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    for bound in (10, 1000):
+        quality.train(docs(spark, rows), labels, max_rows=bound)
+    outside = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    assert [len(y) for _, y in seen] == [10, len(outside)]
+    want = [quality.measure(None if i == 7 else "word " * (i + 1)) for i in outside]
+    assert seen[1][0].tolist() == want and seen[1][1].tolist() == [i % 2 for i in outside]
+
+
+def test_additive_score_equals_plain_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)).round(1)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    model = quality.fit_additive(x, y, pairs=3)
+    for row, score in zip(x, model.score(x)):
+        place = [sum(e <= v for e in edges) for edges, v in zip(model.edges, row)]
+        coarse = [sum(e <= v for e in edges) for edges, v in zip(model.pair_edges, row)]
+        total = model.base + sum(t[p] for t, p in zip(model.tables, place)) + sum(t[coarse[f], coarse[g]] for (f, g), t in zip(model.pairs, model.pair_tables))
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_tree_takes_the_best_first_cut():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        g, h = rng.normal(size=9), rng.uniform(0.1, 1, 9)
+        cost = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 2.0)
+        leaf = lambda a, b: np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 2.0))
+        cut = max(range(1, 9), key=lambda k: cost(0, k) + cost(k, 9))
+        gains = cost(0, cut) + cost(cut, 9) - cost(0, 9) > 1e-9  # with the ridge, no cut may gain anything
+        assert quality._tree(g, h, 2, 2.0) == pytest.approx(np.r_[leaf(0, cut), leaf(cut, 9)] if gains else leaf(0, 9))
