@@ -18,11 +18,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
-    scored = quality.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # equal rows have equal scores; a rejected row is named by its id and its text's hash
-    rejected = scored.filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("mix").alias("__mix")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return _columns(keyed.join(rejected.hint("merge"), keyed["doc_id"].eqNullSafe(rejected["__id"]) & (keyed["__key"] == rejected["__mix"]), "left_anti"))
+    return quality.keep_documents(_columns(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
