@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import islice
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quillspark.functions.text import tokens
 
-#: Cells of the alignment table beyond which no alignment is given.
+#: Cells of the alignment table beyond which ``edit_script`` gives no alignment.
 MAX_CELLS = 16_000_000
+#: Bits of the alignment table that are held in any case.
+BLOCK_BITS = 1 << 26
+#: Rows that are held as Python's values at a time: read, and made.
+SLICE, OUT_ROWS = 256, 20_000
 
 
 def rate(errors: Column, total: Column) -> Column:
@@ -35,6 +45,11 @@ def encode_tokens(pairs: DataFrame, ref: str, got: str) -> DataFrame:
     return pairs.withColumn("__both", both).withColumns({"ref_code": code(ref), "got_code": code(got)}).drop("__both")
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """Rows over all cores: a pair costs with its lengths' product, so tasks cut by bytes are few and long."""
+    return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
+
+
 def edit_counts(pairs: DataFrame, ref: str, got: str) -> DataFrame:
     """Adds ``char_errors, chars, word_errors, words``; distances are over code points and tokens."""
     coded = encode_tokens(pairs, ref, got)
@@ -78,54 +93,134 @@ def token_rates(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"recall": recall, "precision": precision}).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def edit_script(a, b) -> list[tuple[str, object, object]] | None:
+def _hits(a, b):
+    """A function from a symbol to its places in ``a``, as bits; frequent ones are kept, the others made anew."""
+    places: dict = {v: [] for v in b}
+    for i, v in enumerate(a):
+        if v in places:
+            places[v].append(i)
+    kept = {v: sum(1 << i for i in at) for v, at in places.items() if len(at) > len(a) >> 12}
+
+    def of(v) -> int:
+        return kept[v] if v in kept else sum(1 << i for i in places[v])
+
+    return of
+
+
+def _column(full: int, hit: int, plus: int, minus: int) -> tuple[int, int, int]:
+    """One column of the edit table on, by bits (Hyyrö): where the diagonal step is free, where a column rises, where it falls."""
+    zero = (((hit & plus) + plus) ^ plus | hit | minus) & full
+    up = ((minus | full ^ (zero | plus)) << 1 | 1) & full
+    return zero, ((zero & plus) << 1 & full) | full ^ (zero | up), zero & up
+
+
+def distance(a, b) -> int:
+    """Edit distance of two sequences; a row of bits is held at a time."""
+    if len(a) < len(b):
+        a, b = b, a
+    full, hits = (1 << len(a)) - 1, _hits(a, b)
+    plus, minus = full, 0
+    for v in b:
+        _, plus, minus = _column(full, hits(v), plus, minus)
+    return len(b) + plus.bit_count() - minus.bit_count()
+
+
+def edit_steps(a, b) -> list[tuple[str, object, object]]:
     """Backtrace of the edit distance; at ties substitution, then deletion, then insertion.
 
-    Null where the table would have over ``MAX_CELLS`` cells.
+    Columns are bits. Those of a block are held, of the others each block's first; going back, blocks are made again.
+    Long sequences so take memory with the power 1.5 of their length.
     """
-    import numpy as np
-
     n, m = len(a), len(b)
-    if n * m > MAX_CELLS:
-        return None
-    codes: dict = {}
-    x = np.array([codes.setdefault(v, len(codes)) for v in a], np.int64)
-    y = np.array([codes.setdefault(v, len(codes)) for v in b], np.int64)
-    d = np.zeros((n + 1, m + 1), np.int32)
-    d[0], steps = np.arange(m + 1), np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(d[i - 1, :-1] + (y != x[i - 1]), d[i - 1, 1:] + 1)
-        # insertions: a running minimum of what each cell costs less its column
-        d[i] = np.minimum.accumulate(row - steps) + steps
+    full, hits = (1 << n) - 1, _hits(a, b)
+    block = max(isqrt(m) + 1, BLOCK_BITS // (n + 1))
+    firsts: list[tuple[int, int]] = []
+    state = (full, 0)
+
+    def columns(start: int, plus: int, minus: int) -> tuple[list[tuple[int, int]], tuple[int, int]]:
+        held = []
+        for v in b[start : start + block]:
+            zero, plus, minus = _column(full, hits(v), plus, minus)
+            held.append((zero, plus))
+        return held, (plus, minus)
+
+    held, start = [], 0
+    for start in range(0, m, block):
+        firsts.append(state)
+        held, state = columns(start, *state)
     out, i, j = [], n, m
-    while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
-            out.append(("match" if x[i - 1] == y[j - 1] else "sub", a[i - 1], b[j - 1]))
+    while i and j:
+        if j <= start:
+            start -= block
+            held, _ = columns(start, *firsts[start // block])
+        zero, plus = held[j - 1 - start]
+        same = a[i - 1] == b[j - 1]
+        if same or not zero >> (i - 1) & 1:
+            out.append(("match" if same else "sub", a[i - 1], b[j - 1]))
             i, j = i - 1, j - 1
-        elif i and d[i, j] == d[i - 1, j] + 1:
+        elif plus >> (i - 1) & 1:
             out.append(("del", a[i - 1], ""))
             i -= 1
         else:
             out.append(("ins", "", b[j - 1]))
             j -= 1
+    out += [("del", v, "") for v in reversed(a[:i])] + [("ins", "", v) for v in reversed(b[:j])]
     return out[::-1]
 
 
+def edit_script(a, b) -> list[tuple[str, object, object]] | None:
+    """``edit_steps``, or null where the table would have over ``MAX_CELLS`` cells. No operator here uses that limit."""
+    return None if len(a) * len(b) > MAX_CELLS else edit_steps(a, b)
+
+
+def _rows(batches, *columns: str):
+    """Rows of Arrow batches; few are held as Python's values at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield from zip(*(batch.column(c).slice(at, SLICE).to_pylist() for c in columns))
+
+
 def align_characters(pairs: DataFrame, key: list[str], ref: str, got: str) -> DataFrame:
     """One row per step of each pair's edit script: key, ``step, op, want, got``."""
-    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+    schema = StructType([*(pairs.schema[k] for k in key), StructField("step", IntegerType()), *(StructField(c, StringType()) for c in ("op", "want", "got"))])
 
-    steps = ArrayType(StructType([StructField(c, StringType()) for c in ("op", "want", "got")]))
+    def aligned(batches):
+        import pyarrow as pa
 
-    @F.pandas_udf(steps)
-    def script(a, b):
-        import pandas as pd
+        types = to_arrow_schema(schema)
+
+        def steps():
+            for *k, a, b in _rows(batches, *key, ref, got):
+                if a is not None and b is not None:
+                    yield from ((*k, i, *s) for i, s in enumerate(edit_steps(a, b)))
+
+        rows = steps()
+        while part := list(islice(rows, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), types)], schema=types)
+
+    return dealt(pairs.select(*key, ref, got)).mapInArrow(aligned, schema)
+
+
+def substitution_counts(pairs: DataFrame, ref: str, got: str) -> DataFrame:
+    """``substitutions`` of ``align_characters``, added up where the pairs are: no row per step is made."""
+
+    def counted(batches):
+        import pyarrow as pa
 
-        return pd.Series([None if x is None or y is None else [dict(zip(("op", "want", "got"), s)) for s in edit_script(x, y) or ()] for x, y in zip(a, b)])
+        def batch():
+            return pa.RecordBatch.from_pydict({"want": [k[0] for k in n], "got": [k[1] for k in n], "n": pa.array(n.values(), pa.int64())})
 
-    return pairs.select(*key, F.posexplode(script(ref, got)).alias("step", "s")).select(*key, "step", "s.op", "s.want", "s.got")
+        n: Counter = Counter()
+        for a, b in _rows(batches, ref, got):
+            if a is not None and b is not None:
+                n.update(s[1:] for s in edit_steps(a, b) if s[0] != "match")
+            if len(n) > OUT_ROWS:
+                yield batch()
+                n.clear()
+        if n:
+            yield batch()
+
+    return dealt(pairs.select(ref, got)).mapInArrow(counted, "want string, got string, n long").groupBy("want", "got").agg(F.sum("n").alias("n"))
 
 
 def substitutions(aligned: DataFrame) -> DataFrame:
@@ -135,28 +230,27 @@ def substitutions(aligned: DataFrame) -> DataFrame:
 
 def aligned_words(pairs: DataFrame, key: list[str], ref: str, got: str) -> DataFrame:
     """For each token of the reference the position of the token read for it, or null."""
+    schema = StructType([*(pairs.schema[k] for k in key), StructField("pos", IntegerType()), StructField("want", StringType()), StructField("at", IntegerType()), StructField("got", StringType())])
 
-    @F.pandas_udf("array<int>")
-    def places(a, b):
-        import pandas as pd
+    def aligned(batches):
+        import pyarrow as pa
 
-        def one(x, y):
-            out, at = [], 0
-            for op, *_ in edit_script(list(x), list(y)) or ():
-                if op in ("match", "sub"):
-                    out.append(at)
-                elif op == "del":
-                    out.append(None)
-                at += op != "del"
-            return out
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-    want, read = tokens(F.col(ref)), tokens(F.col(got))
-    rows = pairs.select(*key, want.alias("want"), read.alias("read"), places(want, read).alias("at"))
-    return rows.select(*key, "read", F.posexplode(F.arrays_zip("want", "at")).alias("pos", "x")).select(
-        *key, "pos", F.col("x.want").alias("want"), F.col("x.at").alias("at"), F.try_element_at("read", (F.col("x.at") + 1)).alias("got")
-    )
+        types = to_arrow_schema(schema)
+
+        def words():
+            for *k, x, y in _rows(batches, *key, "want", "read"):
+                at, pos = 0, 0
+                for op, want, read in edit_steps(x, y) if x is not None and y is not None else ():
+                    if op != "ins":
+                        yield (*k, pos, want, at, read) if op != "del" else (*k, pos, want, None, None)
+                        pos += 1
+                    at += op != "del"
+
+        rows = words()
+        while part := list(islice(rows, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), types)], schema=types)
+
+    return dealt(pairs.select(*key, tokens(F.col(ref)).alias("want"), tokens(F.col(got)).alias("read"))).mapInArrow(aligned, schema)
 
 
 def classify_word(want: Column, got: Column, identifier: Column, known: Column) -> Column:
@@ -187,12 +281,7 @@ def line_pairs(pairs: DataFrame, key: list[str], ref: str, got: str) -> DataFram
                 rows.append((*k, *line_matched_errors([s for s in (a or "").split("\n") if s], [s for s in (b or "").split("\n") if s])))
             yield pd.DataFrame(rows, columns=[*key, "errors", "chars", "paired"])
 
-    return pairs.select(*key, ref, got).mapInPandas(matched, schema)
-
-
-def distance(a: str, b: str) -> int:
-    script = edit_script(a, b)
-    return max(len(a), len(b)) if script is None else sum(op != "match" for op, *_ in script)
+    return dealt(pairs.select(*key, ref, got)).mapInPandas(matched, schema)
 
 
 def line_matched_errors(a: list[str], b: list[str]) -> tuple[int, int, int]:

@@ -306,3 +306,42 @@ def test_recognition_from_bytes(spark):
         e.recognize_bytes(spark.createDataFrame([(1, 2, 3, bytearray(5))], "page int, width int, height int, pixels binary")).collect()
     assert e.set_knob("match.geometry_weight", 0.5) and e.weights == [1.0] * 103 + [0.5] * 4
     assert e.set_knob("match.top_k", 1.0) and not e.set_knob("no.such", 1.0) and not e.set_knob("match.geometry_weight", float("nan"))
+
+
+def plain_script(a, b):
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            d[i][j] = min(d[i - 1][j - 1] + (x != y), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            out, i, j = [("match" if a[i - 1] == b[j - 1] else "sub", a[i - 1], b[j - 1]), *out], i - 1, j - 1
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            out, i = [("del", a[i - 1], ""), *out], i - 1
+        else:
+            out, j = [("ins", "", b[j - 1]), *out], j - 1
+    return out
+
+
+@pytest.mark.parametrize("bits", [0, 300, 1 << 26])
+def test_edit_steps_by_blocks(monkeypatch, bits):
+    monkeypatch.setattr(scoring, "BLOCK_BITS", bits)
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abcd", k=rng.randrange(30))) for _ in range(2))
+        assert scoring.edit_steps(a, b) == plain_script(a, b) and scoring.edit_steps(list(a), list(b)) == plain_script(a, b)
+        assert scoring.distance(a, b) == plain_distance(a, b)
+
+
+def test_alignments_of_any_length(spark):
+    rows = [(1, "a" * 5000, "b" * 5000), (2, None, "x"), (3, "", "xy"), (4, "ab", "b")]
+    pairs = spark.createDataFrame(rows, "i int, ref string, got string")
+    want = {("a", "b"): 5000, ("", "x"): 1, ("", "y"): 1, ("a", ""): 1}
+    assert {(r.want, r.got): r.n for r in scoring.substitution_counts(pairs, "ref", "got").collect()} == want
+    aligned = scoring.align_characters(pairs, ["i"], "ref", "got")
+    assert {(r.want, r.got): r.n for r in scoring.substitutions(aligned).collect()} == want
+    assert [tuple(r) for r in aligned.filter("i = 4").orderBy("step").collect()] == [(4, 0, "del", "a", ""), (4, 1, "match", "b", "b")]
+    assert scoring.line_matched_errors(["a" * 5000], ["a" * 4990 + "b" * 10]) == (10, 5000, 1)
+    words = spark.createDataFrame([("a " * 5000, "b " * 5000)], "ref string, got string")
+    assert scoring.aligned_words(words, [], "ref", "got").filter("want = 'a' and got = 'b' and at = pos").count() == 5000
