@@ -52,13 +52,13 @@ def dealt(pairs: DataFrame) -> DataFrame:
 
 def edit_counts(pairs: DataFrame, ref: str, got: str) -> DataFrame:
     """Adds ``char_errors, chars, word_errors, words``; distances are over code points and tokens."""
-    coded = encode_tokens(pairs, ref, got)
+    coded = encode_tokens(dealt(pairs), ref, got)
     return coded.withColumns(
         {
             "char_errors": F.levenshtein(ref, got).cast("long"),
             "chars": F.length(ref).cast("long"),
             "word_errors": F.levenshtein("ref_code", "got_code").cast("long"),
-            "words": F.length("ref_code").cast("long"),
+            "words": F.array_size(tokens(F.col(ref))).cast("long"),
         }
     ).drop("ref_code", "got_code")
 

@@ -345,3 +345,10 @@ def test_alignments_of_any_length(spark):
     assert scoring.line_matched_errors(["a" * 5000], ["a" * 4990 + "b" * 10]) == (10, 5000, 1)
     words = spark.createDataFrame([("a " * 5000, "b " * 5000)], "ref string, got string")
     assert scoring.aligned_words(words, [], "ref", "got").filter("want = 'a' and got = 'b' and at = pos").count() == 5000
+
+
+def test_character_counts_code_no_tokens(spark):
+    pairs = spark.createDataFrame([("a b", "a c"), ("", "x"), (None, "x")], "ref string, got string")
+    counts = scoring.edit_counts(pairs, "ref", "got").select("char_errors", "chars", "words")
+    assert "array_position" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, counts.collect()), key=repr) == [(1, 0, 0), (1, 3, 2), (None, None, None)]
