@@ -352,3 +352,34 @@ def test_character_counts_code_no_tokens(spark):
     counts = scoring.edit_counts(pairs, "ref", "got").select("char_errors", "chars", "words")
     assert "array_position" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, counts.collect()), key=repr) == [(1, 0, 0), (1, 3, 2), (None, None, None)]
+
+
+@pytest.mark.parametrize("block, bank_bytes", [(3, 1 << 20), (7, 200)])
+def test_search_by_blocks(spark, monkeypatch, block, bank_bytes):
+    """Small blocks and slices give what a plain search gives, with ties, gates and vectors that have no distance."""
+    from quillspark.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", block)
+    monkeypatch.setattr(matching, "BANK_BYTES", bank_bytes)
+    rng = random.Random(3)
+    bank = [(i, f"c{i % 4}", [float(rng.randrange(3)), float(rng.randrange(3))], rng.randrange(1, 4), i) for i in range(40)] + [(40, "c1", [float("nan"), 0.0], 3, 40), (41, "c2", None, 3, 41)]
+    queries = [(100 + i, [float(rng.randrange(3)), float(rng.randrange(3))], rng.randrange(3), i) for i in range(20)] + [(200, None, 0, 0), (201, [float("inf"), 0.0], 0, 1)]
+    b = spark.createDataFrame(bank, "proto_id long, class string, vec array<double>, holes int, own long")
+    q = spark.createDataFrame(queries, "q long, vec array<double>, hole int, own long")
+    for gate in (False, True):
+        want = {}
+        for n, x, hole, own in queries[:20]:
+            rows = [r for r in bank[:40] if r[4] != own]
+            rows = [r for r in rows if r[3] >> hole & 1] or rows if gate else rows
+            for p, c, v, *_ in rows:
+                d = float(np.float32(np.hypot(v[0] - x[0], v[1] - x[1])))
+                want[n, c] = min(want.get((n, c), (d, p)), (d, p))
+        got = {(r.q, r["class"]): (r.d, r.proto_id) for r in matching.class_distances(q, b, gate=gate, exclude="own").collect()}
+        assert got == want
+
+
+def test_search_deals_few_files_over_all_cores(spark):
+    from quillspark.operators import matching
+
+    v = spark.range(10).coalesce(1).selectExpr("id AS q", "id AS proto_id", "id % 2 AS class", "array(double(id)) AS vec")
+    assert matching.class_distances(v, v).rdd.getNumPartitions() >= 4
