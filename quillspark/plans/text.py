@@ -109,7 +109,7 @@ def _(t):
 )
 def _(t):
     p = t.documents.select("doc_id", "text", tx.pretokens(F.col("text")).alias("p"))
-    return p.select("doc_id", F.size("p").cast("long").alias("n"), (F.array_join("p", "") == F.col("text")).alias("whole"), F.element_at("p", 1).alias("head"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"), (F.array_join("p", "") == F.col("text")).alias("whole"), F.get("p", F.lit(0)).alias("head"))
 
 
 @SUITE.query(
