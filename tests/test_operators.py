@@ -383,3 +383,24 @@ def test_search_deals_few_files_over_all_cores(spark):
 
     v = spark.range(10).coalesce(1).selectExpr("id AS q", "id AS proto_id", "id % 2 AS class", "array(double(id)) AS vec")
     assert matching.class_distances(v, v).rdd.getNumPartitions() >= 4
+
+
+def test_contrast_ends_round_as_in_sql(spark):
+    import duckdb
+
+    from quillspark.operators import raster
+
+    images = [(i, [a, b, *[255] * 62]) for i, (a, b) in enumerate((a, b) for a in range(0, 90, 3) for b in range(a, 250, 7))]
+    px = spark.createDataFrame([(i, 0, x, v) for i, vs in images for x, v in enumerate(vs)], "img int, y int, x int, v int")
+    got = {r.img: (r.lo, r.hi) for r in raster.quantiles(px, lo=0.005, hi=0.5).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (img INT, v INT[])")
+    con.executemany("INSERT INTO p VALUES (?, ?)", images)
+    want = con.execute("SELECT img, quantile_cont(u, 0.005), quantile_cont(u, 0.5) FROM (SELECT img, unnest(v) AS u FROM p) GROUP BY img").fetchall()
+    assert got == {i: (lo, hi) for i, lo, hi in want}
+
+
+def test_pretokens_of_empty_texts(spark, tmp_path):
+    spark.createDataFrame([(1, ""), (2, None), (3, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["t37_pretokens"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, True, None), (2, None, None, None), (3, 2, True, "a")]
