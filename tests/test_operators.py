@@ -404,3 +404,12 @@ def test_pretokens_of_empty_texts(spark, tmp_path):
     spark.createDataFrame([(1, ""), (2, None), (3, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = registry.queries()["t37_pretokens"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [tuple(r) for r in rows] == [(1, 0, True, None), (2, None, None, None), (3, 2, True, "a")]
+
+
+def test_category_veto_sorts_words_once(spark):
+    from quillspark.operators import matching
+
+    rows = [(1, 1, "A", "X"), (1, 2, "A", "A"), (2, 1, "A", "X"), (2, 2, "B", "B"), (3, 1, "A", "X"), (3, 2, None, None), (4, 1, None, "X"), (4, 2, None, "X")]
+    out = matching.category_veto(spark.createDataFrame(rows, "word int, pos int, category string, other string"))
+    assert [r.vetoed for r in out.orderBy("word", "pos").collect()] == [True, False, False, False, False, False, None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
