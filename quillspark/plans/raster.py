@@ -111,10 +111,8 @@ def _(t):
 
 @SUITE.query("p04_p07_p22_deskew")
 def _(t):
-    image = px(t)
-    slopes = rs.estimate_skew(mask(t).filter("ink"), max_slope=0.25)
-    flat = rs.correct_skew(image, slopes)
-    return flat.join(slopes, "img").select("img", "y", "x", "v", rs.unshear(F.col("y"), F.col("x"), F.col("slope"), F.lit(8)).alias("from_y"))
+    flat = rs.deskew(t.embeddings, "vec_id", "embedding", 8, max_slope=0.25)
+    return flat.select("img", "y", "x", "v", rs.unshear(F.col("y"), F.col("x"), F.col("slope"), F.lit(8)).alias("from_y"))
 
 
 @SUITE.query(

@@ -442,3 +442,50 @@ def test_category_veto_sorts_words_once(spark):
     out = matching.category_veto(spark.createDataFrame(rows, "word int, pos int, category string, other string"))
     assert [r.vetoed for r in out.orderBy("word", "pos").collect()] == [True, False, False, False, False, False, None, None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+
+
+@pytest.mark.parametrize("pixels", [1 << 20, 100])
+def test_deskew_of_odd_images(spark, monkeypatch, pixels):
+    """Images of unlike sizes, without ink, of one pixel and with values that aren't numbers, at once and in slices."""
+    import math
+
+    from quillspark.operators import raster
+
+    monkeypatch.setattr(raster, "PIXELS", pixels)
+    rng = random.Random(4)
+    images = [(i, [rng.uniform(-0.4, 0.4) for _ in range(rng.choice([64, 64, 64, 60, 9, 1]))]) for i in range(40)]
+    images += [(40 + s, [-0.3 if (y - round(x * s / 8)) % 4 == 0 else 0.3 for y in range(8) for x in range(8)]) for s in (-2, -1, 1, 2)]
+    images += [(50, [1.0] * 64), (51, None), (52, []), (53, [None, float("nan"), -0.3, float("inf")] * 16)]
+
+    def plain(vector):
+        v = [255 if e is None or e == math.inf else 0 if e != e else max(0, min(255, math.floor(e * 400 + 128))) for e in vector]
+        px = {divmod(i, 8): g for i, g in enumerate(v)}
+        h, w = max(y for y, _ in px), max(x for _, x in px)
+        slope, span = 0.0, 0.25
+        for step in (1 / 128, 1 / 1024, 1 / 8192):
+            tried = []
+            for i in range(-round(span / step), round(span / step) + 1):
+                k = max(-0.25, min(0.25, slope + i * step))
+                rows = [math.floor(y - x * k) for (y, x), g in px.items() if g < 128]
+                tried.append((-sum(rows.count(r) ** 2 for r in set(rows)), abs(k), k))
+            slope, span = min(tried)[2], step
+        edge = sorted(g for (y, x), g in px.items() for _ in range((y in (0, h)) + (x in (0, w))))
+        fill = edge[len(edge) // 2]
+        out = {}
+        for (y, x), g in px.items():
+            y0 = math.floor(y + x * slope)
+            part = y + x * slope - y0
+            v0, v1 = px.get((y0, x), fill), px.get((y0 + 1, x), fill) if (y0, x) in px else fill
+            out[y, x] = g if abs(slope) < 0.0015 else math.floor(v0 * (1 - part) + v1 * part + 0.5)
+        return slope, out
+
+    want = {(i, y, x): (v, slope) for i, vector in images if vector and i != 50 for slope, out in [plain(vector)] for (y, x), v in out.items()}
+    table = spark.createDataFrame([(i, v) for i, v in images], "vec_id long, embedding array<double>")
+    got = {(r.img, r.y, r.x): (r.v, r.slope) for r in raster.deskew(table, "vec_id", "embedding", 8, max_slope=0.25).collect()}
+    assert got == {k: w for k, w in want.items() if any(e is not None and (e != e or e < 0) for e in dict(images)[k[0]])}
+
+
+def test_deskew_aggregates_no_pixels(spark):
+    """Before, a task held counts for each slope and row of all its images."""
+    plan = registry.queries()["p04_p07_p22_deskew"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Aggregate|Window|Join|Generate", plan)
